@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 from cohortlens import binding as b
 from cohortlens.functions import scores as sc
 from cohortlens.functions import text as tx
-from cohortlens.operators import correlate, extremes, features, filters, joins, profile, scorecard, upsert
+from cohortlens.operators import (
+    balance,
+    correlate,
+    extremes,
+    features,
+    filters,
+    joins,
+    models,
+    profile,
+    scorecard,
+    upsert,
+)
 from cohortlens.runtime import new_path
-from cohortlens.schema import ASSESSMENTS, ATTR_COLS, BANDS, COURSES
+from cohortlens.schema import ASSESSMENTS, ATTR_COLS, BANDS, BASE_SCORES, COURSES, FEATURES
 from cohortlens.sources import sheets, tables
 
 COHORT = 1998
@@ -656,7 +667,7 @@ def training_features(spark, sf):
 
 @query
 def binary_targets(spark, sf):
-    return features.binary_targets(_training(spark, sf)).select("student_id", "label", "fail", "pass", "success")
+    return features.binary_targets(_training(spark, sf)).select("student_id", "label", "target_fail", "target_pass", "target_success")
 
 
 @query
@@ -684,3 +695,117 @@ def verdict(spark, sf):
     return b.table(spark, sf, "embeddings").select(
         "vec_id", sc.verdict(shares).alias("verdict_of_shares"), sc.verdict(free).alias("verdict_of_free")
     )
+
+
+# Models ------------------------------------------------------------------------------
+# Small networks and forests: the point is the whole run over all rows, not the last percent.
+
+FOLDS = 2
+ITERATIONS = 15
+HIDDEN = (8,)
+
+
+def _training_rows(spark, sf):
+    return tables.write_once(_training(spark, sf), "training")
+
+
+def _ordinal_rows(spark, sf):
+    frame = features.ordinal_training_frame(b.facts(spark, sf, certs=False), COHORTS)
+    return tables.write_once(frame, "ordinal-training")
+
+
+@query
+def assemble(spark, sf):
+    return models.assemble(_training(spark, sf)).select("student_id", "label", "features")
+
+
+@query
+def oversample(spark, sf):
+    return balance.oversample(_training_rows(spark, sf), "label", FEATURES)
+
+
+@query
+def mlp_classify(spark, sf):
+    return models.kfold_classifier(
+        _ordinal_rows(spark, sf),
+        "student_id",
+        features.ORDINAL_FEATURES,
+        folds=5,
+        max_iter=ITERATIONS,
+        hidden=HIDDEN,
+        balanced=False,
+    )
+
+
+@query
+def eval_metrics(spark, sf):
+    rows = features.split_by_hash(_training_rows(spark, sf), "student_id")
+    model = models.network(FEATURES, 3, HIDDEN, ITERATIONS).fit(rows.filter("NOT is_test"))
+    scored = models.class_probabilities(model.transform(rows.filter("is_test")))
+    return models.classifier_metrics(scored)
+
+
+@query
+def kfold_eval(spark, sf):
+    folds = models.kfold_classifier(
+        _training_rows(spark, sf), "student_id", folds=5, max_iter=ITERATIONS, hidden=HIDDEN
+    )
+    return folds.select("fold", "accuracy", "loss")
+
+
+@query
+def stack_train(spark, sf):
+    rows = _training_rows(spark, sf)
+    model = models.fit_stack(rows, "student_id", FOLDS, ITERATIONS, HIDDEN)
+    return model.transform(rows).select("student_id", "label", *BASE_SCORES, "p")
+
+
+@query
+def batch_score(spark, sf):
+    model = models.fit_stack(_training_rows(spark, sf), "student_id", FOLDS, ITERATIONS, HIDDEN)
+    students = b.profile_sheet(spark, sf).select("IDNumber", "CFIT", *ATTR_COLS)
+    return models.score_students(model, filters.require_domain(students, "CFIT"))
+
+
+@query
+def model_roundtrip(spark, sf):
+    rows = _training_rows(spark, sf)
+    path = new_path(spark, "model")
+    models.fit_stack(rows, "student_id", FOLDS, ITERATIONS, HIDDEN).save(path)
+    return models.StackedModel.load(path).transform(rows).select("student_id", "p")
+
+
+@query
+def corr_scores(spark, sf):
+    stacked = models.stacked_features(_training_rows(spark, sf), "student_id", FOLDS, ITERATIONS, HIDDEN)
+    return correlate.correlation_matrix(stacked, BASE_SCORES)
+
+
+@query
+def forest_regress(spark, sf):
+    _, residuals = models.forest_regression(
+        _ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, trees=20, depth=8
+    )
+    return residuals
+
+
+@query
+def forest_classify(spark, sf):
+    _, scored = models.forest_classification(
+        _ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, trees=20, depth=8
+    )
+    return scored.select("student_id", "label", "p")
+
+
+@query
+def kfold_regress(spark, sf):
+    return models.kfold_regression(
+        _ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, folds=5, max_iter=5
+    )
+
+
+@query
+def score_audit(spark, sf):
+    rows = _ordinal_rows(spark, sf)
+    model = models.network(features.ORDINAL_FEATURES, 3, HIDDEN, ITERATIONS).fit(rows)
+    return models.score_audit(models.class_probabilities(model.transform(rows)), "student_id")

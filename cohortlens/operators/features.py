@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scores import discretize, grade_span, indicator, ordinal_band
+from cohortlens.functions.scores import discretize, grade_share, grade_span, indicator, ordinal_band
 from cohortlens.operators.filters import among
-from cohortlens.schema import ATTR_COLS, BAND_SCALE, BANDS, COURSES, FEATURES, LABEL_CUTS
+from cohortlens.schema import ATTR_COLS, BAND_SCALE, BANDS, BASE_SCORES, COURSES, FEATURES, LABEL_CUTS, LABEL_CUTS_OLD
+
+ORDINAL_FEATURES = [*ATTR_COLS, "cfit", "course"]
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str | None = None) -> DataFrame:
@@ -25,9 +27,10 @@ def one_hot_label(df: DataFrame, label: str = "label", classes: int = 3) -> Data
 
 
 def binary_targets(df: DataFrame, label: str = "label") -> DataFrame:
-    """Targets of the three base models: fail, pass, success."""
-    names = {"fail": 0, "pass": 1, "success": 2}
-    return df.withColumns({n: (F.col(label) == k).cast("double") for n, k in names.items()})
+    """Targets of the three base models: ``target_fail``, ``target_pass``, ``target_success``."""
+    return df.withColumns(
+        {f"target_{name}": (F.col(label) == k).cast("double") for k, name in enumerate(BASE_SCORES)}
+    )
 
 
 def course_indicators(df: DataFrame) -> DataFrame:
@@ -49,6 +52,27 @@ def training_frame(
     )
 
 
+def ordinal_training_frame(
+    facts: DataFrame,
+    cohorts: Sequence[int],
+    cuts: tuple[float, float] = LABEL_CUTS_OLD,
+    row_id: str = "student_id",
+) -> DataFrame:
+    """Older form of the training rows: the share of the best grade as weight, the band as a
+    number and one course indicator."""
+    raw = among(facts, "cohort_id", cohorts).select(
+        row_id,
+        grade_share(F.col("grade")).alias("weighted"),
+        *ATTR_COLS,
+        ordinal_band(F.col("cfit")).alias("cfit"),
+        indicator(F.col("course"), COURSES[0]).alias("course"),
+    )
+    complete = raw.dropna("any").withColumn("label", discretize(F.col("weighted"), cuts))
+    return complete.select(
+        row_id, "weighted", "label", *[F.col(c).cast("double").alias(c) for c in ORDINAL_FEATURES]
+    )
+
+
 def exploration_frame(facts: DataFrame) -> DataFrame:
     """Weight, scores, ordinal band and course indicators of complete rows with a band on the scale."""
     rows = among(facts, "cfit", list(BAND_SCALE))

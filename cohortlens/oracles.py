@@ -568,8 +568,8 @@ def _sql() -> dict[str, str]:
     t = _with(FACTS, TRAINING)
     q["training_features"] = t + "SELECT * REPLACE (round(weighted, 6) AS weighted) FROM training"
     q["binary_targets"] = t + (
-        "SELECT student_id, label, CAST(label = 0 AS DOUBLE) AS fail, CAST(label = 1 AS DOUBLE) AS pass, "
-        "CAST(label = 2 AS DOUBLE) AS success FROM training"
+        "SELECT student_id, label, CAST(label = 0 AS DOUBLE) AS target_fail, CAST(label = 1 AS DOUBLE) AS target_pass, "
+        "CAST(label = 2 AS DOUBLE) AS target_success FROM training"
     )
     q["one_hot_label"] = t + (
         "SELECT student_id, "
