@@ -23,9 +23,11 @@ from cohortlens.operators import (
     scorecard,
     upsert,
 )
+from cohortlens.plans import load as load_plan
 from cohortlens.runtime import new_path
 from cohortlens.schema import ASSESSMENTS, ATTR_COLS, BANDS, BASE_SCORES, COURSES, FEATURES
 from cohortlens.sources import sheets, tables
+from cohortlens.streaming import load as stream_load
 
 COHORT = 1998
 COHORTS = [1995, 1996, 1997, 1998, 1999, 2000]
@@ -647,6 +649,46 @@ def conform_columns(spark, sf):
     return rounded(upsert.conform(rows, ASSESSMENTS), "grade")
 
 
+def _loaded(store: tables.TableStore) -> DataFrame:
+    """The loaded tables as one frame, without the ids the load made up."""
+    rows = joins.join_facts(store.read("students"), store.read("assessments"))
+    groups = store.read("groups").select(F.col("id").alias("group_id"), F.col("name").alias("group_name"))
+    cohorts = store.read("cohorts").select(F.col("id").alias("cohort_id"), F.col("name").alias("cohort_name"))
+    named = rows.join(groups, "group_id", "left").join(cohorts, "cohort_id")
+    columns = ["student_key", "course", "group_name", "cohort_name", "cfit", *ATTR_COLS, "c_cert", "grade"]
+    return rounded(named.select(*columns), "grade")
+
+
+def _course_sheets(spark, sf):
+    rows, results = b.profile_sheet(spark, sf), b.results_sheet(spark, sf)
+    trimmed = rows.withColumn("Previous School", tx.strip(F.col("Previous School")))
+    return [
+        load_plan.CourseSheets(trimmed.filter(F.col("Course") == course), results) for course in COURSES
+    ]
+
+
+@query
+def load_twice(spark, sf):
+    """The whole load, run twice under two tags: the second run adds nothing."""
+    store = tables.TableStore(spark, new_path(spark, "store"))
+    for tag in (2000, 3000):
+        load_plan.load(store, _course_sheets(spark, sf), tag)
+    return _loaded(store)
+
+
+@query
+def load_arriving(spark, sf):
+    """The load as a stream of staged files."""
+    store = tables.TableStore(spark, new_path(spark, "store"))
+    path = new_path(spark, "arriving")
+    for course in _course_sheets(spark, sf):
+        load_plan.stage(course).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    staged = stream_load.arriving(spark, path, schema)
+    stream_load.load_stream(staged, store, 2000, new_path(spark, "progress")).awaitTermination()
+    return _loaded(store)
+
+
 # Features and labels ---------------------------------------------------------------
 
 

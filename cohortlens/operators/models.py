@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -86,13 +88,17 @@ def fit_balanced(estimator: Pipeline, label: str, features: Sequence[str]) -> Fi
     return fit
 
 
+def fit_all(jobs: Sequence[Callable[[], Model]], at_once: int = 4) -> list[Model]:
+    """Run independent fits side by side, so that the cluster is not idle between small jobs."""
+    with ThreadPool(min(at_once, len(jobs))) as pool:
+        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+
+
 def held_out_scores(frame: DataFrame, row_id: str, folds: int, fit: Fit) -> DataFrame:
     """Every row scored by a model that was fitted without its fold."""
     marked = assign_folds(frame, row_id, folds)
-    parts = [
-        fit(marked.filter(F.col("fold") != fold)).transform(marked.filter(F.col("fold") == fold))
-        for fold in range(folds)
-    ]
+    fitted = fit_all([partial(fit, marked.filter(F.col("fold") != fold)) for fold in range(folds)])
+    parts = [m.transform(marked.filter(F.col("fold") == fold)) for fold, m in enumerate(fitted)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -141,27 +147,43 @@ class StackedModel:
         return StackedModel(base, PipelineModel.load(f"{path}/top"))
 
 
-def stacked_features(
-    frame: DataFrame, row_id: str, folds: int = 5, max_iter: int = 60, hidden: Sequence[int] = (32,)
-) -> DataFrame:
-    """Training rows with base scores from models that did not see them."""
-    marked = assign_folds(binary_targets(frame.filter(F.col("label").isNotNull())), row_id, folds)
+def _base_fits(marked: DataFrame, max_iter: int, hidden: Sequence[int]) -> list[Callable[[], Model]]:
+    jobs = []
+    for name in BASE_SCORES:
+        target = f"target_{name}"
+        fit = fit_balanced(network(FEATURES, 2, hidden, max_iter, target), target, FEATURES)
+        jobs.append(partial(fit, marked))
+    return jobs
+
+
+def _score_held_out(marked: DataFrame, folds: int, fitted: list[Model]) -> DataFrame:
+    """Base scores of every fold from the models fitted without it."""
     parts = []
     for fold in range(folds):
-        train, part = marked.filter(F.col("fold") != fold), marked.filter(F.col("fold") == fold)
-        model = StackedModel(_fit_base(train, max_iter, hidden), None)
-        parts.append(model.base_scores(part))
+        base = dict(zip(BASE_SCORES, fitted[fold * len(BASE_SCORES):]))
+        parts.append(StackedModel(base, None).base_scores(marked.filter(F.col("fold") == fold)))
     scored = reduce(DataFrame.unionByName, parts)
     return write_once(scored.drop("fold", *[f"target_{n}" for n in BASE_SCORES]), "stacked")
 
 
-def _fit_base(marked: DataFrame, max_iter: int, hidden: Sequence[int]) -> dict[str, PipelineModel]:
-    models = {}
-    for name in BASE_SCORES:
-        target = f"target_{name}"
-        fit = fit_balanced(network(FEATURES, 2, hidden, max_iter, target), target, FEATURES)
-        models[name] = fit(marked)
-    return models
+def _held_out_fits(marked: DataFrame, folds: int, max_iter: int, hidden: Sequence[int]):
+    return [
+        job
+        for fold in range(folds)
+        for job in _base_fits(marked.filter(F.col("fold") != fold), max_iter, hidden)
+    ]
+
+
+def _mark(frame: DataFrame, row_id: str, folds: int) -> DataFrame:
+    return assign_folds(binary_targets(frame.filter(F.col("label").isNotNull())), row_id, folds)
+
+
+def stacked_features(
+    frame: DataFrame, row_id: str, folds: int = 5, max_iter: int = 60, hidden: Sequence[int] = (32,)
+) -> DataFrame:
+    """Training rows with base scores from models that did not see them."""
+    marked = _mark(frame, row_id, folds)
+    return _score_held_out(marked, folds, fit_all(_held_out_fits(marked, folds, max_iter, hidden)))
 
 
 def fit_stack(
@@ -171,10 +193,13 @@ def fit_stack(
 
     The pass model is fitted on the pass target.
     """
-    stacked = stacked_features(frame, row_id, folds, max_iter, hidden)
+    marked = _mark(frame, row_id, folds)
+    jobs = _base_fits(marked, max_iter, hidden) + _held_out_fits(marked, folds, max_iter, hidden)
+    fitted = fit_all(jobs)
+    base = dict(zip(BASE_SCORES, fitted))
+    stacked = _score_held_out(marked, folds, fitted[len(base):])
     top = fit_balanced(network(STACK_FEATURES, 3, hidden, max_iter), "label", STACK_FEATURES)(stacked)
-    marked = binary_targets(frame.filter(F.col("label").isNotNull()))
-    return StackedModel(_fit_base(marked, max_iter, hidden), top)
+    return StackedModel(base, top)
 
 
 def score_students(model: StackedModel, students: DataFrame, row_id: str = "IDNumber") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.scores import ordinal_band, percent_difference
 from cohortlens.operators.filters import among
+from cohortlens.operators.joins import join_long
 from cohortlens.operators.quantile import exact_median
 from cohortlens.schema import ATTRIBUTES, BAND_SCALE, COURSES, PASS_MARK
 
@@ -65,19 +66,18 @@ def _sums_by_group(
 ) -> DataFrame:
     """Sums per known group over students with a band on the scale and a registered cohort.
 
-    Groups and cohorts are matched after the first aggregation: the joins see one row per
-    group and cohort instead of one per student.
+    The cohorts are broadcast: there is at most one per tag of the allowed range. Groups are
+    matched after the aggregation, so that join sees one row per group instead of one per
+    student.
     """
-    rows = among(facts, "cfit", list(BAND_SCALE)).filter(F.col("group_id").isNotNull())
-    sums = rows.groupBy("group_id", "cohort_id").agg(*_partial_sums(pass_mark))
     registered = cohorts.select(F.col("id").alias("cohort_id"))
-    known = groups.select(F.col("id").alias("group_id"), "name")
-    return (
-        sums.join(registered, "cohort_id", "left_semi")
-        .groupBy("group_id")
-        .agg(*_add_up(sums))
-        .join(known, "group_id")
+    rows = (
+        among(facts, "cfit", list(BAND_SCALE))
+        .filter(F.col("group_id").isNotNull())
+        .join(F.broadcast(registered), "cohort_id", "left_semi")
     )
+    known = groups.select(F.col("id").alias("group_id"), "name")
+    return rows.groupBy("group_id").agg(*_partial_sums(pass_mark)).join(known, "group_id")
 
 
 def group_profiles(
@@ -132,11 +132,7 @@ def group_vs_overall(
 
 def unpivot_attributes(wide: DataFrame, ids: Sequence[str] = ("group_id",)) -> DataFrame:
     """Score measures in long form: no counts, KPIs, averages or differences, no NULLs."""
-    dropped = {column_name(m) for m in COUNT_MEASURES + KPI_MEASURES} | set(ids)
-    kept = [
-        c for c in wide.columns if c not in dropped and not c.endswith(("_average", "_difference"))
-    ]
-    kept = [c for c in kept if c in {column_name(m) for m in SCORE_MEASURES}]
+    kept = [column_name(m) for m in SCORE_MEASURES]
     return wide.unpivot(list(ids), kept, "attribute", "value").filter(F.col("value").isNotNull())
 
 
@@ -152,6 +148,11 @@ def transpose_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return text.unpivot([], columns, "metric", "value")
 
 
+def compare_attributes(group_row: DataFrame, overall_row: DataFrame) -> DataFrame:
+    """Scores of one group beside the overall values; scores it does not have are left out."""
+    return join_long(unpivot_attributes(group_row, ()), unpivot_attributes(overall_row, ()))
+
+
 def kpi_comparison(group_row: DataFrame, overall_row: DataFrame) -> DataFrame:
     """KPIs of one group beside the overall values, in long form."""
     names = [column_name(m) for m in KPI_MEASURES]

@@ -20,6 +20,7 @@ from cohortlens.schema import (
     TOP_GROUPS,
     TOP_STUDENTS,
 )
+from cohortlens.sources.tables import write_once
 
 
 def _passed(pass_mark: float) -> Column:
@@ -116,8 +117,12 @@ def top_groups(scorecard: DataFrame, k: int = TOP_GROUPS) -> DataFrame:
 
 
 def group_rank(scorecard: DataFrame) -> DataFrame:
-    """Dense rank on the rounded score; NULL score, NULL rank."""
-    return dense_rank_of_values(scorecard, "weighted_score", "rank")
+    """Dense rank on the rounded score; NULL score, NULL rank.
+
+    The scorecard, one row per group, is written first: ranks are matched by score, so every
+    use must see the very same numbers, and sums of doubles can differ between two runs.
+    """
+    return dense_rank_of_values(write_once(scorecard, "scorecard"), "weighted_score", "rank")
 
 
 def rank_of_group(scorecard: DataFrame, group_id: int) -> DataFrame:

@@ -20,13 +20,20 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project to a schema; a column the frame lacks is NULL."""
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    """Project to a schema; a column the frame lacks is NULL.
+
+    Text for a whole number may have decimals (``45.0``) and is rounded, as a database does.
+    """
+
+    def column(field: T.StructField):
+        if field.name not in df.columns:
+            return F.lit(None).cast(field.dataType)
+        value = F.col(field.name)
+        if df.schema[field.name].dataType == T.StringType() and field.dataType == T.IntegerType():
+            value = F.round(value.cast("double"))
+        return value.cast(field.dataType)
+
+    return df.select(*[column(f).alias(f.name) for f in schema.fields])
 
 
 def check_tag(tag: int | str) -> int:
