@@ -15,8 +15,18 @@ SCORE_VECTORS = 500
 LAST_REGISTERED = 2000
 
 
+# Given with every read, so that no job is spent on finding the columns.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_quantity double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def facts(spark: SparkSession, sf_dir: str, certs: bool = True, scores: bool = True) -> DataFrame:
@@ -47,21 +57,17 @@ def facts(spark: SparkSession, sf_dir: str, certs: bool = True, scores: bool = T
         base = base.join(cert, "student_id", "left")
     if scores:
         # vec_id is the key of its table, so at most SCORE_VECTORS rows are broadcast.
+        score = F.transform(
+            F.slice("embedding", 1, len(ATTR_COLS)),
+            lambda x: F.greatest(
+                F.lit(1.0), F.least(F.lit(10.0), F.floor(5.5 + 16.0 * x).cast("double"))
+            ).cast("int"),
+        )
         vectors = (
             table(spark, sf_dir, "embeddings")
             .filter(F.col("vec_id").between(0, SCORE_VECTORS - 1))
-            .select(
-                F.col("vec_id").alias("vec"),
-                *[
-                    F.greatest(
-                        F.lit(1.0),
-                        F.least(F.lit(10.0), F.floor(5.5 + 16.0 * F.col("embedding")[k]).cast("double")),
-                    )
-                    .cast("int")
-                    .alias(name)
-                    for k, name in enumerate(ATTR_COLS)
-                ],
-            )
+            .select(F.col("vec_id").alias("vec"), score.alias("scores"))
+            .select("vec", *[F.col("scores")[k].alias(name) for k, name in enumerate(ATTR_COLS)])
         )
         missing = {"attr_A": 0, "attr_B": 1}
         base = (

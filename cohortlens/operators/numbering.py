@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.sources.tables import write_once
+
 # Three hex digits: at most 4096 buckets per class, so the bucket totals stay small.
 _BUCKET_DIGITS = 3
 
@@ -48,8 +50,10 @@ def running_start(
 def assign_ids(new_rows: DataFrame, key: str, existing: DataFrame, name: str = "id") -> DataFrame:
     """Give each new row the next free id, in the order of ``md5(key)``.
 
-    The same rows get the same ids on every run, whatever their partitioning.
+    The same rows get the same ids on every run, whatever their partitioning. The rows are
+    written first, because numbering reads them twice and what found them may be costly.
     """
+    new_rows = write_once(new_rows, "new-rows")
     highest = existing.agg(F.coalesce(F.max(name), F.lit(0)).cast("long").alias("m"))
     return running_start(new_rows, key, name="_start").withColumn(
         name, highest.scalar() + 1 + F.col("_start")
