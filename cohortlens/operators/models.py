@@ -13,7 +13,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomFore
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scores import verdict
@@ -91,7 +91,7 @@ def fit_balanced(estimator: Pipeline, label: str, features: Sequence[str]) -> Fi
 def fit_all(jobs: Sequence[Callable[[], Model]], at_once: int = 4) -> list[Model]:
     """Run independent fits side by side, so that the cluster is not idle between small jobs."""
     with ThreadPool(min(at_once, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs)
 
 
 def held_out_scores(frame: DataFrame, row_id: str, folds: int, fit: Fit) -> DataFrame:
