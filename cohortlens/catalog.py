@@ -398,6 +398,13 @@ def resolve_students(spark, sf):
     return known.select(*columns).unionByName(rejected.select(*columns))
 
 
+@query
+def concat_rows(spark, sf):
+    """Features and labels side by side, matched on the row key instead of the position."""
+    frame = _training(spark, sf)
+    return joins.same_row(frame.select("student_id", "attr_C", "cfit_H"), frame.select("student_id", "label"), "student_id")
+
+
 @query
 def expand_courses(spark, sf):
     return joins.expand_courses(b.facts(spark, sf, False, False).select("student_id", "cfit"))
@@ -618,6 +625,11 @@ def pct_format(spark, sf):
     )
 
 
+@query
+def name_pattern(spark, sf):
+    return profile.names_without(b.groups(spark, sf), "name", "0[1-4]|99")
+
+
 # Repeatable load -----------------------------------------------------------------
 
 

@@ -10,16 +10,31 @@ from pyspark.sql import functions as F
 from cohortlens.schema import COURSES
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
+# Rows of a key that must be seen before its share means anything.
+_SEEN = 20
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], row_id: str, partitions: int, one_in: int = 1000
+) -> DataFrame:
     """Keys with more than two average partitions of rows, and the parts to split each into.
 
-    Fewer than ``partitions / 2`` keys can pass, whatever the data.
+    The shares are judged on one row in ``one_in``, picked by a hash of ``row_id`` so that
+    every evaluation picks the same rows; a full count would shuffle all keys only to find
+    the few that matter. Fewer than ``partitions / 2`` keys can pass, whatever the data.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (
+        df.filter(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.withColumn("_parts", F.ceil(F.col("_n") * partitions / total).cast("int")).filter(
-        F.col("_parts") > 2
-    ).drop("_n")
+    parts = F.ceil(F.col("_n") * partitions / total).cast("int")
+    return (
+        counts.withColumn("_parts", parts)
+        .filter((F.col("_parts") > 2) & (F.col("_n") >= _SEEN))
+        .drop("_n")
+    )
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -36,12 +51,14 @@ def spread_join(
     how: str,
     row_id: str,
     partitions: int | None = None,
+    one_in: int = 1000,
 ) -> DataFrame:
     """Equi-join (inner or left) that splits the hot keys of ``left`` over many tasks.
 
     Left rows of a hot key are dealt out by a hash of ``row_id``; the right rows of that key
-    go to every part. Each left row meets each of its right rows exactly once. NULL keys
-    match nothing; a left join deals them out too.
+    go to every part. Each left row meets each of its right rows exactly once, whichever keys
+    are found hot: the sample behind that choice decides where rows go, not which are joined.
+    NULL keys match nothing; a left join deals them out too.
 
     A right side that Spark will broadcast needs none of this: no row of the left moves.
     Giving ``partitions`` forces the split.
@@ -54,7 +71,7 @@ def spread_join(
             return left.join(right, keys, how)
         partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     renamed = {k: f"_hot_{k}" for k in keys}
-    hot = F.broadcast(hot_keys(left, keys, partitions).withColumnsRenamed(renamed))
+    hot = F.broadcast(hot_keys(left, keys, row_id, partitions, one_in).withColumnsRenamed(renamed))
 
     def with_parts(df: DataFrame) -> DataFrame:
         same = [F.col(k).eqNullSafe(F.col(h)) for k, h in renamed.items()]

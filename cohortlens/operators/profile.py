@@ -165,9 +165,6 @@ def kpi_comparison(group_row: DataFrame, overall_row: DataFrame) -> DataFrame:
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     """Mean, exact median, minimum and maximum of a column."""
-    median = exact_median(df, column).scalar()
-    return df.agg(
-        F.avg(column).alias("mean"),
-        F.min(column).alias("minimum"),
-        F.max(column).alias("maximum"),
-    ).select("mean", median.alias("median"), "minimum", "maximum")
+    return exact_median(df, column, also=["mean", "min", "max"]).select(
+        "mean", "median", F.col("min").alias("minimum"), F.col("max").alias("maximum")
+    )

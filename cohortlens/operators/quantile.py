@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BINS = 4096
 
 
-def exact_median(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFrame:
+def exact_median(
+    df: DataFrame, column: str, accuracy: int = 10_000, also: Sequence[str] = ()
+) -> DataFrame:
     """One row ``median``: the middle value, or the mean of the two middle values.
 
+    ``also`` names other aggregates (``mean``, ``min``, ``max``) to return beside it; they
+    cost no further pass.
+
     A mergeable sketch brackets the middle to within a few parts in ``accuracy``. Rows below
     the bracket are only counted, equal values collapse to a count, and the bracket is cut
     into bins, so just the one or two bins around the middle are put in order.
@@ -20,7 +27,8 @@ def exact_median(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFram
     bracket = values.agg(
         F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("b"),
         F.count(F.lit(1)).alias("n"),
-    ).select(F.struct(F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "n").alias("s"))
+        *[getattr(F, a)("v").alias(a) for a in also],
+    ).select(F.struct(F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "n", *also).alias("s"))
     s = bracket.scalar()
 
     entries = (
@@ -64,5 +72,6 @@ def exact_median(df: DataFrame, column: str, accuracy: int = 10_000) -> DataFram
             F.max(F.when(holds(low_rank), F.col("v"))).alias("a"),
             F.max(F.when(holds(high_rank), F.col("v"))).alias("b"),
         )
-        .select(((F.col("a") + F.col("b")) / 2).alias("median"))
+        .select(((F.col("a") + F.col("b")) / 2).alias("median"), s.alias("s"))
+        .select("median", *[f"s.{a}" for a in also])
     )

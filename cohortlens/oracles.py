@@ -537,6 +537,8 @@ def _sql() -> dict[str, str]:
         "SELECT o_orderkey AS student_id, CAST(round(o_totalprice / 500000 * 100, 2) AS VARCHAR) || '%' AS confidence "
         "FROM orders"
     )
+    q["name_pattern"] = _with(GROUPS) + "SELECT id, name FROM grp WHERE NOT regexp_matches(name, '0[1-4]|99')"
+    q["concat_rows"] = _with(FACTS, TRAINING) + 'SELECT student_id, attr_C, "cfit_H", label FROM training'
     # Repeatable load
     q["upsert_groups"] = _with(FACTS, PROFILE, GROUPS, _STORED_GROUPS) + (
         f"SELECT (SELECT max(id) FROM stored_groups) + {_md5_number('name')} AS id, name FROM "

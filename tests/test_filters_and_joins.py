@@ -56,24 +56,25 @@ def skewed(spark):
     return left, right
 
 
+@pytest.mark.parametrize("one_in", [1, 3, 1000])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_spread_join_equals_plain_join(skewed, how):
+def test_spread_join_equals_plain_join(skewed, how, one_in):
     left, right = skewed
-    spread = joins.spread_join(left, right, ["k"], how, "row", partitions=16)
+    spread = joins.spread_join(left, right, ["k"], how, "row", partitions=16, one_in=one_in)
     assert spread.columns == ["k", "row", "v"]
     assert as_rows(spread) == as_rows(left.join(right, ["k"], how))
 
 
 def test_hot_keys_are_found_and_few(skewed):
     left, _ = skewed
-    hot = {r.k: r._parts for r in joins.hot_keys(left, ["k"], 16).collect()}
+    hot = {r.k: r._parts for r in joins.hot_keys(left, ["k"], "row", 16, one_in=1).collect()}
     assert set(hot) == {1, None}
     assert hot[1] >= 5
 
 
 def test_spread_join_deals_out_the_hot_key(skewed):
     left, right = skewed
-    hot = joins.hot_keys(left, ["k"], 16).withColumnRenamed("k", "h")
+    hot = joins.hot_keys(left, ["k"], "row", 16, one_in=1).withColumnRenamed("k", "h")
     dealt = left.join(hot, F.col("k").eqNullSafe(F.col("h"))).select(
         "k", F.pmod(F.xxhash64("row"), F.col("_parts")).alias("part")
     )
