@@ -534,7 +534,7 @@ def _sql() -> dict[str, str]:
         "round(exp(ln(w)), 6) AS restored FROM (SELECT student_id, grade / 5 * 100 AS w FROM facts)"
     )
     q["pct_format"] = (
-        "SELECT o_orderkey AS student_id, CAST(round(o_totalprice / 500000 * 100, 2) AS VARCHAR) || '%' AS confidence "
+        "SELECT o_orderkey AS student_id, CAST(round_even(o_totalprice / 500000 * 100 * 100, 0) / 100 AS VARCHAR) || '%' AS confidence "
         "FROM orders"
     )
     q["name_pattern"] = _with(GROUPS) + "SELECT id, name FROM grp WHERE NOT regexp_matches(name, '0[1-4]|99')"

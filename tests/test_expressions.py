@@ -89,8 +89,8 @@ def test_round_binary_differs_from_decimal(spark):
 
 
 def test_percent_text(spark):
-    got = values(spark, [(0.12345,), (1.0,), (0.0,)], "p double", tx.percent_text(F.col("p")))
-    assert [g[0] for g in got] == ["12.35%", "100.0%", "0.0%"]
+    got = values(spark, [(0.12346,), (1.0,), (0.0,), (0.28375,)], "p double", tx.percent_text(F.col("p")))
+    assert [g[0] for g in got] == ["12.35%", "100.0%", "0.0%", "28.38%"]
 
 
 def plain_verdict(p):

@@ -122,3 +122,12 @@ def test_targets_are_sorted_by_strength(spark):
     strength = [abs(r.r) for r in rows]
     assert strength == sorted(strength, reverse=True)
     assert {r.attribute for r in rows} == {"a", "b", "d"}
+
+
+def test_pairs_without_common_rows_are_listed(spark):
+    df = spark.createDataFrame([(1.0, None, 1.0), (2.0, None, 3.0), (3.0, None, 4.0)], "a double, b double, c double")
+    for frame in (df, df.filter("a < 0")):
+        cells = {(r.x, r.y): r.r for r in correlation_matrix(frame, ["a", "b", "c"]).collect()}
+        assert len(cells) == 9
+        assert cells[("a", "b")] is None and cells[("b", "b")] is None
+    assert {(r.x, r.y): r.r for r in pair_correlations(df.repartition(3), ["a", "c"]).collect()}[("a", "c")] > 0.9
