@@ -88,7 +88,7 @@ def fit_balanced(estimator: Pipeline, label: str, features: Sequence[str]) -> Fi
     return fit
 
 
-def fit_all(jobs: Sequence[Callable[[], Model]], at_once: int = 4) -> list[Model]:
+def fit_all(jobs: Sequence[Callable[[], Model]], at_once: int = 5) -> list[Model]:
     """Run independent fits side by side, so that the cluster is not idle between small jobs."""
     with ThreadPool(min(at_once, len(jobs))) as pool:
         return pool.map(inheritable_thread_target(SparkSession.active())(lambda job: job()), jobs)

@@ -20,6 +20,8 @@ from cohortlens.schema import (
 )
 
 TABLES = {"groups": GROUPS, "cohorts": COHORTS, "students": STUDENTS, "assessments": ASSESSMENTS}
+# Students of one cohort are read without touching the files of the others.
+PARTITIONED_BY = {"students": ["cohort_id"]}
 METRICS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("run_at", T.TimestampType()),
@@ -45,10 +47,11 @@ class TableStore:
     def read(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        stored = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        return stored.select(*TABLES[name].fieldNames())
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+        rows.write.partitionBy(*PARTITIONED_BY.get(name, [])).mode("append").parquet(f"{self.root}/{name}")
 
 
 def read_database(

@@ -180,6 +180,14 @@ def test_csv_sink(spark):
     assert [tuple(r) for r in sheets.read_csv(spark, path).collect()] == [("1", "x,y")]
 
 
+def test_students_of_a_cohort_are_read_alone(spark, store):
+    rows = [(i, f"s{i}", 1, 5 + i % 2, "BSCS", 0) for i in range(1, 9)]
+    store.append("students", spark.createDataFrame(rows, tables.TABLES["students"]))
+    one = store.read("students").filter("cohort_id = 5")
+    assert one.count() == 4
+    assert "PartitionFilters: [isnotnull(cohort_id" in one._jdf.queryExecution().toString()
+
+
 def test_shared_dir_is_the_checkpoint_dir(spark):
     assert new_path(spark, "x").startswith(shared_dir(spark))
 
