@@ -148,6 +148,27 @@ def test_profile_sheet(spark, tmp_path):
     assert [rows[0][a] for a in ATTR_COLS] == scores.split(",")
 
 
+def test_load_from_csv_files(spark, store, tmp_path):
+    """Sheets as exported: the place of a row in the file decides which one is first."""
+    scores = ",".join(["4"] * 21)
+    cells = ["17,Univ of X ,BSCS,AA,,,", "18,,BSCS,L,,,", "17,School Y,BSCS,H,,,"]
+    write_sheet(tmp_path / "profile", 7, [f"{c},{scores}" for c in cells])
+    (tmp_path / "results.csv").write_text(
+        "IDNumber,C Certification,Final Grades\n17,60,2.5\n18,50,INC\n18,40,3.0\n"
+    )
+    sheet = CourseSheets(
+        sheets.read_profile(spark, str(tmp_path / "profile")),
+        sheets.read_results(spark, str(tmp_path / "results.csv")),
+    )
+    for _ in range(2):
+        load(store, [sheet], 2324)
+    groups = {r.id: r.name for r in store.read("groups").collect()}
+    students = {r.student_key: groups.get(r.group_id) for r in store.read("students").collect()}
+    assert students == {"17": "Univ of X", "18": None}
+    rows = sorted((r.cfit, r.attr_A, r.c_cert, r.grade) for r in store.read("assessments").collect())
+    assert rows == [("AA", 4, 60, 2.5), ("H", 4, 60, 2.5), ("L", 4, 40, 3.0)]
+
+
 def test_score_sheet_starts_one_column_earlier(spark, tmp_path):
     scores = ",".join(["7"] * 21)
     write_sheet(tmp_path / "sheet", 6, [f"17,X,BSCS,AA,,,{scores}"])
