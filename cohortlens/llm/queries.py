@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import line_dedup, mixing, outliers, simhash, sketch, spans
+from cohortlens.llm import chat, line_dedup, mixing, outliers, pieces, quality, simhash, sketch, spans, zipwarc
+from cohortlens.runtime import new_path
+from cohortlens.sources.tables import write_once
 
 # Every source is to have the same share of the mixture.
 MIX_WEIGHTS = {f"src{k}": 1.0 for k in range(20)}
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+SAID = "\\### Assistant: </turn> ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -24,7 +34,7 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    marks = simhash.write_once(docs.select("doc_id", simhash.fingerprint(F.col("text"), 4).alias("mark")), "marks")
+    marks = write_once(docs.select("doc_id", simhash.fingerprint(F.col("text"), 4).alias("mark")), "marks")
     classed = simhash.classes(marks, ["mark"], simhash.within(["mark"], 4))
     return classed.select(
         "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
@@ -48,13 +58,42 @@ def outliers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judged(docs, keep_text=False).select("doc_id", *outliers.BASE, "base_failed", "distance", "kept")
 
 
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    zipwarc.write_archives(zipwarc.with_revisits(table(spark, sf_dir, "pages")), path)
+    records = zipwarc.read_archives(spark, path)
+    return records.select(
+        "page_id",
+        "payload_bytes",
+        F.coalesce(F.sha1("payload"), F.col("payload_sha1")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.model_bytes(PIECES_MODEL)).drop("text")
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", SAID), (-7, 1, "assistant", SAID)], turns.schema)
+    rows = turns.unionAll(added).withColumn("parts", chat.as_parts(F.col("text")))
+    return chat.digests(chat.format_turns(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality_query,
     "op2_line_dedup": line_dedup_query,
     "op3_simhash": simhash_query,
     "op4_sketch": sketch_query,
     "op5_spans": spans_query,
     "op6_mixing": mixing_query,
     "op7_outliers": outliers_query,
+    "op8_zip_warc": warc_query,
+    "op9_sentencepiece": pieces_query,
+    "op10_chat": chat_query,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -97,5 +136,39 @@ steps AS (
 SELECT d.*, copy, md5('{mixing.SEED}:' || doc_id || ':' || copy) AS mix_key
 FROM (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted WHERE n > 0)
 JOIN documents d USING (doc_id)
+""",
+    "op8_zip_warc": """
+WITH paid AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, coalesce(html, '') AS said FROM pages
+), sized AS (
+    SELECT page_id, octet_length(payload) AS payload_bytes, sha1(said) AS payload_digest, said FROM paid
+), last AS (
+    SELECT *, max(page_id) OVER (PARTITION BY said) AS response FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id < response THEN response END AS refers_to
+FROM last
+""",
+    "op10_chat": """
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), sized AS (
+    SELECT *,
+        CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
+            ELSE 5 + length(regexp_replace(replace(role, '\\', '\\\\'), '[:]', '\\:', 'g')) END AS shown,
+        length(regexp_replace(replace(text, '\\', '\\\\'), '<(/turn>|turn>|[|])', '<\\\1', 'g'))
+            + greatest(0, length(text) - length(regexp_replace(text, '#{3,}', '##', 'g'))) AS body
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(6 + 4 + shown + 2 + body + 8)::BIGINT AS formatted_chars,
+    0::BIGINT AS tokens_expanded
+FROM sized GROUP BY conv_id
 """,
 }

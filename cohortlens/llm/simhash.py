@@ -149,3 +149,37 @@ def classes(fingerprints: DataFrame, searched: Sequence[str], close, id_col: str
     return own.join(named, fields).unionByName(
         fingerprints.filter(F.col(id_col).isNull()).withColumn("component_id", F.lit(None).cast("long"))
     )
+
+
+# Seeds of the fingerprints over single words, which are searched, and over shingles, which
+# are compared.
+SEARCH_SEEDS, COMPARE_SEEDS = (42, 7), (42, 7)
+SHINGLE = 5
+CLOSE_BITS = 28
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of near duplicates: five-word shingles alike to 0.8 or more.
+
+    At that likeness a fingerprint over five-word shingles differs in 5 to 14 of 64 bits, too
+    many to search for. The sets of words differ far less, so fingerprints over the distinct
+    words are searched by their fuzzy keys, and what they bring together is compared by 128
+    bits over the shingles: up to ``CLOSE_BITS`` may differ. Texts without words are alike.
+    """
+    text = F.col(text_col)
+
+    @F.pandas_udf(", ".join(f"f{k} long" for k in range(len(SEARCH_SEEDS) + len(COMPARE_SEEDS))))
+    def marks(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            rows.append(
+                [majority(shingle_hashes(t, 1, s, distinct=True)) for s in SEARCH_SEEDS]
+                + [majority(shingle_hashes(t, SHINGLE, s)) for s in COMPARE_SEEDS]
+            )
+        return pd.DataFrame(rows, columns=[f"f{k}" for k in range(len(SEARCH_SEEDS) + len(COMPARE_SEEDS))], dtype="int64")
+
+    marked = write_once(docs.select(id_col, marks(text).alias("m")).select(id_col, "m.*"), "marks")
+    searched = [f"f{k}" for k in range(len(SEARCH_SEEDS))]
+    compared = [f"f{len(SEARCH_SEEDS) + k}" for k in range(len(COMPARE_SEEDS))]
+    classed = classes(marked, searched, within(compared, CLOSE_BITS), id_col)
+    return classed.select(id_col, "component_id")
