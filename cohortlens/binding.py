@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.operators.joins import left_join_known
 from cohortlens.schema import ATTR_COLS, ATTRIBUTES
 
-SCORE_VECTORS = 500
 LAST_REGISTERED = 2000
 
 
@@ -56,23 +56,22 @@ def facts(spark: SparkSession, sf_dir: str, certs: bool = True, scores: bool = T
         )
         base = base.join(cert, "student_id", "left")
     if scores:
-        # vec_id is the key of its table, so at most SCORE_VECTORS rows are broadcast.
+        # Students take the vectors in turn; their ids count from 0.
+        stored = table(spark, sf_dir, "embeddings")
+        count = max(stored.count(), 1)
         score = F.transform(
             F.slice("embedding", 1, len(ATTR_COLS)),
             lambda x: F.greatest(
                 F.lit(1.0), F.least(F.lit(10.0), F.floor(5.5 + 16.0 * x).cast("double"))
             ).cast("int"),
         )
-        vectors = (
-            table(spark, sf_dir, "embeddings")
-            .filter(F.col("vec_id").between(0, SCORE_VECTORS - 1))
-            .select(F.col("vec_id").alias("vec"), score.alias("scores"))
-            .select("vec", *[F.col("scores")[k].alias(name) for k, name in enumerate(ATTR_COLS)])
+        vectors = stored.select(F.col("vec_id").alias("vec"), score.alias("scores")).select(
+            "vec", *[F.col("scores")[k].alias(name) for k, name in enumerate(ATTR_COLS)]
         )
         missing = {"attr_A": 0, "attr_B": 1}
         base = (
-            base.withColumn("vec", F.col("student_id") % SCORE_VECTORS)
-            .join(F.broadcast(vectors), "vec")
+            base.withColumn("vec", F.col("student_id") % count)
+            .join(vectors, "vec")
             .drop("vec")
         )
         base = base.withColumns({
@@ -130,7 +129,7 @@ def profile_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("  "), spelled_name(), F.lit("\t ")).alias("Previous School"),
     )
     rows = facts(spark, sf_dir, certs=False).drop("grade")
-    return rows.join(names, "group_id", "left").select(
+    return left_join_known(rows, names, "group_id", "student_id").select(
         F.col("student_id").alias("row_no"),
         F.col("student_key").alias("IDNumber"),
         "Previous School",

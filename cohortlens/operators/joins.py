@@ -6,84 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.schema import COURSES
 
 
-# Rows of a key that must be seen before its share means anything.
-_SEEN = 20
+def left_join_known(left: DataFrame, right: DataFrame, key: str, row_id: str) -> DataFrame:
+    """Left join on one key; rows whose key is NULL match nothing and are dealt out evenly.
 
-
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], row_id: str, partitions: int, one_in: int = 1000
-) -> DataFrame:
-    """Keys with more than two average partitions of rows, and the parts to split each into.
-
-    The shares are judged on one row in ``one_in``, picked by a hash of ``row_id`` so that
-    every evaluation picks the same rows; a full count would shuffle all keys only to find
-    the few that matter. Fewer than ``partitions / 2`` keys can pass, whatever the data.
+    A NULL key would bring all its rows to one task. They get a key of their own instead that
+    no right row has: a negative number, or a text that begins with a NUL character. Keys are
+    surrogate ids or names, which have neither. Other frequent keys are left to Spark, which
+    splits a skewed partition of either join at run time.
     """
-    counts = (
-        df.filter(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    total = counts.agg(F.sum("_n")).scalar()
-    parts = F.ceil(F.col("_n") * partitions / total).cast("int")
-    return (
-        counts.withColumn("_parts", parts)
-        .filter((F.col("_parts") > 2) & (F.col("_n") >= _SEEN))
-        .drop("_n")
-    )
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's size estimate of the frame is below its own broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size) <= limit
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str,
-    row_id: str,
-    partitions: int | None = None,
-    one_in: int = 1000,
-) -> DataFrame:
-    """Equi-join (inner or left) that splits the hot keys of ``left`` over many tasks.
-
-    Left rows of a hot key are dealt out by a hash of ``row_id``; the right rows of that key
-    go to every part. Each left row meets each of its right rows exactly once, whichever keys
-    are found hot: the sample behind that choice decides where rows go, not which are joined.
-    NULL keys match nothing; a left join deals them out too.
-
-    A right side that Spark will broadcast needs none of this: no row of the left moves.
-    Giving ``partitions`` forces the split.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError(f"cannot spread a {how} join")
-    keys = list(keys)
-    if partitions is None:
-        if fits_broadcast(right):
-            return left.join(right, keys, how)
-        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    renamed = {k: f"_hot_{k}" for k in keys}
-    hot = F.broadcast(hot_keys(left, keys, row_id, partitions, one_in).withColumnsRenamed(renamed))
-
-    def with_parts(df: DataFrame) -> DataFrame:
-        same = [F.col(k).eqNullSafe(F.col(h)) for k, h in renamed.items()]
-        return df.join(hot, same, "left").drop(*renamed.values())
-
-    dealt = with_parts(left).withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_parts")).cast("int"), F.lit(0))
-    )
-    copied = with_parts(right).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
-    )
-    return dealt.drop("_parts").join(copied.drop("_parts"), [*keys, "_part"], how).drop("_part")
+    if isinstance(right.schema[key].dataType, T.StringType):
+        apart = F.concat(F.lit("\0"), F.col(row_id).cast("string"))
+    else:
+        apart = -1 - F.pmod(F.xxhash64(row_id), F.lit(2**31 - 2)).cast("long")
+    keyed = left.withColumn("_key", F.coalesce(F.col(key), apart))
+    return keyed.join(right.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
 
 def join_facts(students: DataFrame, assessments: DataFrame) -> DataFrame:
@@ -93,16 +34,16 @@ def join_facts(students: DataFrame, assessments: DataFrame) -> DataFrame:
     )
 
 
-def with_group_name(facts: DataFrame, groups: DataFrame, row_id: str = "student_id") -> DataFrame:
+def with_group_name(facts: DataFrame, groups: DataFrame) -> DataFrame:
     """Inner join with the groups; students without a known group drop out."""
     named = groups.select(F.col("id").alias("group_id"), F.col("name").alias("group_name"))
-    return spread_join(facts.filter(F.col("group_id").isNotNull()), named, ["group_id"], "inner", row_id)
+    return facts.join(named, "group_id")
 
 
-def with_cohort_name(facts: DataFrame, cohorts: DataFrame, row_id: str = "student_id") -> DataFrame:
+def with_cohort_name(facts: DataFrame, cohorts: DataFrame) -> DataFrame:
     """Inner join with the registered cohorts; other students drop out."""
     named = cohorts.select(F.col("id").alias("cohort_id"), F.col("name").alias("cohort_name"))
-    return spread_join(facts.filter(F.col("cohort_id").isNotNull()), named, ["cohort_id"], "inner", row_id)
+    return facts.join(named, "cohort_id")
 
 
 def scores_of_cohort(assessments: DataFrame, students: DataFrame, cohort: int) -> DataFrame:
@@ -117,13 +58,12 @@ def scores_of_cohort(assessments: DataFrame, students: DataFrame, cohort: int) -
     )
 
 
-def merge_on_id(left: DataFrame, right: DataFrame, key: str, row_id: str) -> DataFrame:
+def merge_on_id(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join of two sheets; repeated ids multiply, columns in both get _x and _y."""
     clash = [c for c in left.columns if c in right.columns and c != key]
     left = left.withColumnsRenamed({c: f"{c}_x" for c in clash})
     right = right.withColumnsRenamed({c: f"{c}_y" for c in clash})
-    row_id = f"{row_id}_x" if row_id in clash else row_id
-    return spread_join(left.filter(F.col(key).isNotNull()), right, [key], "inner", row_id)
+    return left.join(right, key)
 
 
 def lookup_group_id(
@@ -131,7 +71,7 @@ def lookup_group_id(
 ) -> DataFrame:
     """Left join on the exact group name; NULL when there is no such group."""
     dim = groups.select(F.col("name").alias(name_column), F.col("id").alias(out))
-    return spread_join(df, dim, [name_column], "left", row_id)
+    return left_join_known(df, dim, name_column, row_id)
 
 
 def absent_from(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -144,7 +84,7 @@ def resolve_students(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of known students with their surrogate id, and the rows of unknown ones."""
     known = students.select(F.col("student_key").alias(key), F.col("id").alias("student_id"))
-    resolved = spread_join(df, known, [key], "left", row_id)
+    resolved = left_join_known(df, known, key, row_id)
     return (
         resolved.filter(F.col("student_id").isNotNull()),
         resolved.filter(F.col("student_id").isNull()).drop("student_id"),

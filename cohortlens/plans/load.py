@@ -24,7 +24,7 @@ class CourseSheets:
 
 def stage(sheets: CourseSheets) -> DataFrame:
     """Cleaned profiles joined with cleaned results."""
-    return merge_on_id(clean_profile(sheets.profile), clean_results(sheets.results), "IDNumber", "row_no")
+    return merge_on_id(clean_profile(sheets.profile), clean_results(sheets.results), "IDNumber")
 
 
 def cohort_id(store: TableStore, tag: int) -> int:
