@@ -97,8 +97,10 @@ def split_by_hash(df: DataFrame, key: str, buckets: int = 5) -> DataFrame:
     return df.withColumn("is_test", bucket_of(F.col(key), buckets) == 0)
 
 
-def assign_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
-    return df.withColumn("fold", bucket_of(F.col(key), folds))
+def assign_folds(df: DataFrame, key: str, folds: int = 5, salt: str = "") -> DataFrame:
+    """Folds by the digest of the key; another ``salt`` gives folds that know nothing of the first."""
+    own = F.concat(F.lit(salt), F.col(key).cast("string")) if salt else F.col(key)
+    return df.withColumn("fold", bucket_of(own, folds))
 
 
 def log_target(df: DataFrame, target: str = "weighted") -> DataFrame:

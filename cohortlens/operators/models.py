@@ -52,10 +52,11 @@ def network(
 
 
 def class_probabilities(scored: DataFrame, name: str = "p") -> DataFrame:
-    """Probabilities as an array; the columns of the model are dropped."""
-    return scored.withColumn(name, vector_to_array("probability")).drop(
-        "raw", "features", "rawPrediction", "probability", "prediction"
-    )
+    """Probabilities as an array and the class of the largest (``predicted``); the other columns
+    of the model are dropped."""
+    return scored.withColumns(
+        {name: vector_to_array("probability"), "predicted": F.col("prediction").cast("int")}
+    ).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
 def classifier_metrics(
@@ -130,11 +131,11 @@ class StackedModel:
     def base_scores(self, df: DataFrame) -> DataFrame:
         for name in BASE_SCORES:
             scored = class_probabilities(self.base[name].transform(df), "_p")
-            df = scored.withColumn(name, F.col("_p")[1]).drop("_p")
+            df = scored.withColumn(name, F.col("_p")[1]).drop("_p", "predicted")
         return df
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds the base scores and the probabilities ``p`` of fail, pass, excel."""
+        """Adds the base scores, the probabilities ``p`` of fail, pass, excel and the class ``predicted``."""
         return class_probabilities(self.top.transform(self.base_scores(df)))
 
     def save(self, path: str) -> None:
@@ -174,8 +175,8 @@ def _held_out_fits(marked: DataFrame, folds: int, max_iter: int, hidden: Sequenc
     ]
 
 
-def _mark(frame: DataFrame, row_id: str, folds: int) -> DataFrame:
-    return assign_folds(binary_targets(frame.filter(F.col("label").isNotNull())), row_id, folds)
+def _mark(frame: DataFrame, row_id: str, folds: int, salt: str = "") -> DataFrame:
+    return assign_folds(binary_targets(frame.filter(F.col("label").isNotNull())), row_id, folds, salt)
 
 
 def stacked_features(
@@ -187,13 +188,18 @@ def stacked_features(
 
 
 def fit_stack(
-    frame: DataFrame, row_id: str, folds: int = 5, max_iter: int = 60, hidden: Sequence[int] = (32,)
+    frame: DataFrame,
+    row_id: str,
+    folds: int = 5,
+    max_iter: int = 60,
+    hidden: Sequence[int] = (32,),
+    salt: str = "",
 ) -> StackedModel:
     """Base models on all rows; the top model on out-of-fold base scores.
 
     The pass model is fitted on the pass target.
     """
-    marked = _mark(frame, row_id, folds)
+    marked = _mark(frame, row_id, folds, salt)
     jobs = _base_fits(marked, max_iter, hidden) + _held_out_fits(marked, folds, max_iter, hidden)
     fitted = fit_all(jobs)
     base = dict(zip(BASE_SCORES, fitted))
@@ -202,6 +208,38 @@ def fit_stack(
     return StackedModel(base, top)
 
 
+def base_metrics(scored: DataFrame, label: str = "label") -> DataFrame:
+    """``model, accuracy, loss`` of every base score against its own target, in one pass.
+
+    A score of one half or more says yes.
+    """
+    entries = []
+    for k, name in enumerate(BASE_SCORES):
+        yes = F.col(label) == k
+        own = F.greatest(F.when(yes, F.col(name)).otherwise(1 - F.col(name)), F.lit(1e-15))
+        right = ((F.col(name) >= 0.5) == yes).cast("double")
+        entries.append(F.struct(F.lit(name).alias("model"), right.alias("right"), (-F.ln(own)).alias("loss")))
+    rows = scored.filter(F.col(label).isNotNull()).select(F.inline(F.array(*entries)))
+    return rows.groupBy("model").agg(F.avg("right").alias("accuracy"), F.avg("loss").alias("loss"))
+
+
+def kfold_stack(
+    frame: DataFrame, row_id: str, folds: int = 5, max_iter: int = 60, hidden: Sequence[int] = (32,)
+) -> DataFrame:
+    """``fold, accuracy, loss`` of the whole stacked model.
+
+    For every fold the base models, their out-of-fold scores and the top model are fitted on
+    the other folds alone, so no label of the fold reaches a model that scores it.
+    """
+    marked = assign_folds(frame.filter(F.col("label").isNotNull()), row_id, folds)
+    parts = []
+    for fold in range(folds):
+        own = write_once(marked.filter(F.col("fold") != fold).drop("fold"), "train-fold")
+        model = fit_stack(own, row_id, folds, max_iter, hidden, salt="inner")
+        parts.append(model.transform(marked.filter(F.col("fold") == fold)))
+    return classifier_metrics(reduce(DataFrame.unionByName, parts), "label", ["fold"])
+
+
 def score_students(model: StackedModel, students: DataFrame, row_id: str = "IDNumber") -> DataFrame:
     """Confidences and verdict of every student for each course, one row per student.
 
@@ -216,7 +254,7 @@ def score_students(model: StackedModel, students: DataFrame, row_id: str = "IDNu
     for course in COURSES:
         flags = {f"course_{c.lower()}": F.lit(1.0 if c == course else 0.0) for c in COURSES}
         scored = model.transform(rows.withColumns(flags)).withColumnRenamed("p", f"p_{course}")
-        rows = scored.drop(*flags, *BASE_SCORES)
+        rows = scored.drop(*flags, *BASE_SCORES, "predicted")
         p = F.col(f"p_{course}")
         out += [
             percent_text(p[1] + p[2]).alias(f"{course}-Pass Confidence"),
@@ -302,19 +340,30 @@ def kfold_regression(
     seed: int = 42,
 ) -> DataFrame:
     """``fold, loss, mae`` of boosted trees on the weight; the loss is the squared error."""
-    estimator = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="features"),
-            GBTRegressor(labelCol="weighted", maxIter=max_iter, seed=seed),
-        ]
-    )
-    scored = held_out_scores(frame, row_id, folds, estimator.fit)
+    scored = held_out_scores(frame, row_id, folds, boosted(features, "weighted", max_iter, seed).fit)
     error = F.col("weighted") - F.col("prediction")
     return scored.groupBy("fold").agg(
         F.avg(error * error).alias("loss"), F.avg(F.abs(error)).alias("mae")
     )
 
 
+def regression_audit(scored: DataFrame, row_id: str, weight: str = "weighted") -> DataFrame:
+    """The predicted weight beside the original one."""
+    return scored.select(row_id, F.col("prediction").alias("predicted"), F.col(weight).alias("original"))
+
+
+def boosted(
+    features: Sequence[str], target: str = "weighted", max_iter: int = 20, seed: int = 42
+) -> Pipeline:
+    """Boosted trees on a number."""
+    return Pipeline(
+        stages=[
+            VectorAssembler(inputCols=list(features), outputCol="features"),
+            GBTRegressor(labelCol=target, maxIter=max_iter, seed=seed),
+        ]
+    )
+
+
 def score_audit(scored: DataFrame, row_id: str, weight: str = "weighted") -> DataFrame:
     """Class confidences beside the grade the weight came from."""
     names = ["confidence_to_fail", "confidence_to_pass", "confidence_to_excel"]

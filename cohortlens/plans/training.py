@@ -12,12 +12,11 @@ from cohortlens.operators.filters import require_domain
 from cohortlens.operators.models import (
     StackedModel,
     fit_stack,
-    kfold_classifier,
+    kfold_stack,
     mean_and_spread,
     score_students,
-    stacked_features,
 )
-from cohortlens.schema import LABEL_CUTS, STACK_FEATURES
+from cohortlens.schema import LABEL_CUTS
 from cohortlens.sources.tables import log_metrics, write_once
 
 
@@ -31,12 +30,9 @@ def train(
     max_iter: int = 60,
     hidden: Sequence[int] = (32,),
 ) -> DataFrame:
-    """Evaluate by folds, log the means, fit on everything and save; returns the fold scores."""
+    """Evaluate the stack by folds, log the means, fit on everything and save; returns the fold scores."""
     frame = write_once(training_frame(facts, cohorts, cuts), "training")
-    stacked = stacked_features(frame, "student_id", folds, max_iter, hidden)
-    scores = write_once(
-        kfold_classifier(stacked, "student_id", STACK_FEATURES, "label", folds, max_iter, hidden), "folds"
-    )
+    scores = write_once(kfold_stack(frame, "student_id", folds, max_iter, hidden), "folds")
     log_metrics(facts.sparkSession, metrics_path, uuid.uuid4().hex, mean_and_spread(scores).first().asDict())
     fit_stack(frame, "student_id", folds, max_iter, hidden).save(model_path)
     return scores

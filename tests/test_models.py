@@ -82,6 +82,20 @@ def test_folds(spark, rows):
     assert marked.groupBy("fold").count().count() == 3
 
 
+def test_folds_of_the_stack_and_base_metrics(rows):
+    folds = models.kfold_stack(rows, "student_id", folds=2, max_iter=10, hidden=(4,)).collect()
+    assert sorted(r.fold for r in folds) == [0, 1] and all(r.accuracy > 0.5 for r in folds)
+    stacked = models.stacked_features(rows, "student_id", folds=2, max_iter=10, hidden=(4,))
+    base = {r.model: r for r in models.base_metrics(stacked).collect()}
+    assert set(base) == set(BASE_SCORES) and all(r.accuracy > 0.5 for r in base.values())
+
+
+def test_predicted_class_is_the_largest(stack, rows):
+    p = F.col("p")
+    wrong = stack.transform(rows).filter(F.array_position(p, F.array_max(p)) - 1 != F.col("predicted"))
+    assert wrong.count() == 0
+
+
 def test_metrics(spark):
     scored = spark.createDataFrame(
         [(0, [0.7, 0.2, 0.1]), (2, [0.5, 0.25, 0.25])], "label int, p array<double>"
@@ -134,8 +148,8 @@ def test_train_and_predict(spark, sf_dir):
     assert {"mean_accuracy", "std_accuracy", "mean_loss"} <= logged
     sheet = binding.profile_sheet(spark, sf_dir)
     assert training.predict(sheet, model).count() > 0
-    with pytest.raises(ValueError):
-        training.predict(sheet.withColumn("CFIT", F.lit("Z")), model)
+    with pytest.raises(Exception, match="CFIT holds Z"):
+        training.predict(sheet.withColumn("CFIT", F.lit("Z")), model).collect()
 
 
 def test_assemble_order(spark, rows):
