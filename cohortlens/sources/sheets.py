@@ -6,6 +6,8 @@ the sheet's own heading row in every file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,26 @@ from cohortlens.schema import (
     PROFILE_SCORE_POSITION,
     SCORING_SCORE_POSITION,
 )
+from cohortlens.sources.tables import CSV_TEXT
+
+
+# What the reader gives for an empty quoted cell, as it takes the empty text itself for NULL.
+_EMPTY = "\0"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with headings, every cell as text."""
-    return spark.read.option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV with headings, every cell as text and as it was written.
+
+    A cell may hold line breaks unless ``multi_line`` is off, which lets Spark split large
+    files. Cells are matched by position, so every file must have the headings in the same
+    order: one that differs fails the query. Sheets with headings left blank cannot be checked.
+    """
+    options = {**CSV_TEXT, "multiLine": multi_line, "emptyValue": _EMPTY}
+    schema = spark.read.options(**options).csv(path).schema
+    blank = any(re.fullmatch(r"_c\d+", name) for name in schema.names)
+    cells = spark.read.options(**options, enforceSchema=blank).schema(schema).csv(path)
+    kept = [F.col(f"`{c}`") for c in cells.columns]
+    return cells.select(*[F.when(c == _EMPTY, "").otherwise(c).alias(n) for c, n in zip(kept, cells.columns)])
 
 
 def add_row_no(df: DataFrame) -> DataFrame:

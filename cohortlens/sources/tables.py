@@ -84,9 +84,22 @@ def append_to_database(df: DataFrame, url: str, table: str, properties: Mapping[
     df.write.format("jdbc").options(url=url, dbtable=table, **properties).mode("append").save()
 
 
+# Cells are written and read as they are: blanks at the ends stay, quotes are doubled, an empty
+# text is quoted and so differs from NULL, which is an empty cell.
+CSV_TEXT = {
+    "header": True,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "",
+    "emptyValue": '""',
+}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with headings, no row numbers."""
-    df.write.option("header", True).csv(path)
+    df.write.options(**CSV_TEXT).csv(path)
 
 
 def write_once(df: DataFrame, name: str) -> DataFrame:
@@ -129,7 +142,7 @@ def band_dim(spark: SparkSession) -> DataFrame:
 
 
 def long_attributes(facts: DataFrame, dim: DataFrame) -> DataFrame:
-    """Scores in long form with their factor group; the dimension has 21 rows."""
+    """Scores in long form with their factor group."""
     columns = [f"attr_{a}" for a in PRIMARY + GLOBAL]
     long = facts.unpivot(["student_id"], columns, "attribute", "value")
-    return long.join(F.broadcast(dim), "attribute")
+    return long.join(dim, "attribute")

@@ -117,7 +117,7 @@ def test_first_of_each_with_a_hot_key(spark):
     )
     first = upsert.first_of_each(df, "key", ["row_no"])
     assert sorted(r.row_no for r in first.collect()) == list(range(1, 12))
-    assert "WindowGroupLimit" in first._jdf.queryExecution().toString()
+    assert "partial_min_by" in first._jdf.queryExecution().toString()
 
 
 def test_numeric_ids_match_stored_text(spark):
@@ -216,3 +216,20 @@ def test_shared_dir_is_the_checkpoint_dir(spark):
 def test_database_reader_wants_bounds(spark):
     with pytest.raises(ValueError):
         tables.read_database(spark, "jdbc:none", "t", {}, partition_column="id")
+
+
+def test_text_cells_come_back_as_they_were(spark):
+    cells = ["  pad name \t", "", None, "l1\nl2", 'a "quoted", cell', "back\\slash", "plain"]
+    path = new_path(spark, "cells")
+    tables.write_csv(spark.createDataFrame(list(enumerate(cells)), "id int, cell string"), path)
+    got = {int(r.id): r.cell for r in sheets.read_csv(spark, path).collect()}
+    assert got == dict(enumerate(cells))
+
+
+def test_files_with_other_headings_are_refused(spark):
+    path = new_path(spark, "sheets")
+    one = spark.createDataFrame([("1", "x")], "a string, b string").coalesce(1)
+    tables.write_csv(one, f"{path}/k=1")
+    tables.write_csv(one.select("b", "a"), f"{path}/k=2")
+    with pytest.raises(Exception, match="header does not conform"):
+        sheets.read_csv(spark, f"{path}/*").collect()
