@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ from cohortlens.operators import (
 )
 from cohortlens.plans import load as load_plan
 from cohortlens.runtime import new_path
-from cohortlens.schema import ASSESSMENTS, ATTR_COLS, BANDS, BASE_SCORES, COURSES, FEATURES
+from cohortlens.schema import ASSESSMENTS, ATTR_COLS, BANDS, BASE_SCORES, COURSES, FEATURES, STACK_FEATURES
 from cohortlens.sources import sheets, tables
 from cohortlens.streaming import load as stream_load
 
@@ -133,7 +136,7 @@ def sink_csv(spark, sf):
 @query
 def metrics_log(spark, sf):
     path = new_path(spark, "metrics")
-    for cohort in COHORTS[:2]:
+    for cohort in COHORTS:
         row = scorecard.pass_counts(b.facts(spark, sf, scores=False), cohort).first()
         tables.log_metrics(
             spark, path, f"{cohort}-{uuid.uuid4().hex}", {"passers": row.pass_count, "mean": row.avg_pass_grade}
@@ -257,15 +260,24 @@ def composite_score(spark, sf):
 
 @query
 def percent_difference(spark, sf):
-    cards = scorecard.conditional_stats(b.facts(spark, sf, False, False).withColumn("c_cert", F.lit(0)), ["group_id"])
-    base = F.lit(50.0)
+    """Passing rates against the rate of all students, and against those of the group's BSIT course.
+
+    A group whose BSIT students all failed has a base of zero, one without such students has none.
+    """
+    facts = b.facts(spark, sf, scores=False).filter(F.col("group_id").isNotNull())
+    overall = scorecard.conditional_stats(facts, []).select("passing_rate").scalar()
+    bsit = scorecard.conditional_stats(facts.filter(F.col("course") == "BSIT"), ["group_id"])
+    cards = scorecard.conditional_stats(facts, ["group_id"]).join(
+        bsit.select("group_id", F.col("passing_rate").alias("bsit_rate")), "group_id", "left"
+    )
     return rounded(
         cards.select(
             "group_id",
-            sc.percent_difference(F.col("passing_rate"), base).alias("from_half"),
-            sc.percent_difference(F.col("passing_rate"), F.col("mean_cert")).alias("from_zero"),
+            sc.percent_difference(F.col("passing_rate"), overall).alias("from_overall"),
+            sc.percent_difference(F.col("passing_rate"), F.col("bsit_rate")).alias("from_bsit"),
         ),
-        "from_half",
+        "from_overall",
+        "from_bsit",
     )
 
 
@@ -297,7 +309,7 @@ def merge_results(spark, sf):
     profiles = sheets.clean_profile(
         b.profile_sheet(spark, sf).withColumn("Previous School", tx.strip(F.col("Previous School")))
     )
-    merged = joins.merge_on_id(profiles, sheets.clean_results(b.results_sheet(spark, sf)), "IDNumber", "row_no")
+    merged = joins.merge_on_id(profiles, sheets.clean_results(b.results_sheet(spark, sf)), "IDNumber")
     return rounded(
         merged.select(
             F.col("IDNumber").alias("id_number"),
@@ -313,7 +325,7 @@ def merge_results(spark, sf):
 @query
 def merge_cert(spark, sf):
     certs = filters.not_null(b.results_sheet(spark, sf).drop("Final Grades"), "C Certification")
-    merged = joins.merge_on_id(b.profile_sheet(spark, sf), certs, "IDNumber", "row_no")
+    merged = joins.merge_on_id(b.profile_sheet(spark, sf), certs, "IDNumber")
     return merged.select(
         F.col("IDNumber").alias("id_number"),
         F.col("Course").alias("course"),
@@ -649,7 +661,7 @@ def upsert_students(spark, sf):
 @query
 def append_assessments(spark, sf):
     merged = joins.merge_on_id(
-        b.profile_sheet(spark, sf), sheets.clean_results(b.results_sheet(spark, sf)), "IDNumber", "row_no"
+        b.profile_sheet(spark, sf), sheets.clean_results(b.results_sheet(spark, sf)), "IDNumber"
     )
     rows = upsert.new_assessments(merged, _stored_students(spark, sf), _stored_assessments(spark, sf))
     return rounded(rows, "grade")
@@ -752,11 +764,6 @@ def verdict(spark, sf):
 
 
 # Models ------------------------------------------------------------------------------
-# Small networks and forests: the point is the whole run over all rows, not the last percent.
-
-FOLDS = 2
-ITERATIONS = 15
-HIDDEN = (8,)
 
 
 def _training_rows(spark, sf):
@@ -773,93 +780,221 @@ def assemble(spark, sf):
     return models.assemble(_training(spark, sf)).select("student_id", "label", "features")
 
 
+@query
+def vector_cells(spark, sf):
+    """The assembled vectors cell by cell."""
+    cells = vector_to_array("features")
+    rows = models.assemble(_training(spark, sf)).select("student_id", F.posexplode(cells).alias("position", "value"))
+    return rows
+
+
 @query
 def oversample(spark, sf):
     return balance.oversample(_training_rows(spark, sf), "label", FEATURES)
 
 
+@query
+def oversample_counts(spark, sf):
+    """Rows per class after balancing, and how many of them are new."""
+    rows = balance.oversample(_training_rows(spark, sf), "label", FEATURES)
+    made = F.sum(F.col("is_synthetic").cast("bigint"))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), made.alias("n_new"))
+
+
 @query
 def mlp_classify(spark, sf):
-    return models.kfold_classifier(
-        _ordinal_rows(spark, sf),
-        "student_id",
-        features.ORDINAL_FEATURES,
-        folds=5,
-        max_iter=ITERATIONS,
-        hidden=HIDDEN,
-        balanced=False,
+    return models.kfold_classifier(_ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, balanced=False)
+
+
+@query
+def fold_summary(spark, sf):
+    """Mean and spread of the folds' accuracy and loss."""
+    rows = _ordinal_rows(spark, sf)
+    return models.mean_and_spread(
+        models.kfold_classifier(rows, "student_id", features.ORDINAL_FEATURES, balanced=False)
     )
 
 
+def _net_on_test_rows(spark, sf):
+    rows = features.split_by_hash(_training_rows(spark, sf), "student_id")
+    model = models.network(FEATURES, 3).fit(rows.filter("NOT is_test"))
+    return models.class_probabilities(model.transform(rows.filter("is_test")))
+
+
 @query
 def eval_metrics(spark, sf):
-    rows = features.split_by_hash(_training_rows(spark, sf), "student_id")
-    model = models.network(FEATURES, 3, HIDDEN, ITERATIONS).fit(rows.filter("NOT is_test"))
-    scored = models.class_probabilities(model.transform(rows.filter("is_test")))
-    return models.classifier_metrics(scored)
+    return models.classifier_metrics(_net_on_test_rows(spark, sf))
+
+
+@query
+def predicted_classes(spark, sf):
+    """The class of every test row, and whether it is the one of the largest probability."""
+    p = F.col("p")
+    best = F.array_position(p, F.array_max(p)) - 1
+    return _net_on_test_rows(spark, sf).select("student_id", "label", "predicted", (best == F.col("predicted")).alias("is_largest"))
+
+
+@query
+def probability_sums(spark, sf):
+    """The probabilities of every test row add up to 1."""
+    total = F.aggregate("p", F.lit(0.0), lambda x, y: x + y)
+    return _net_on_test_rows(spark, sf).select("student_id", F.size("p").alias("n_classes"), F.round(total, 6).alias("total"))
 
 
 @query
 def kfold_eval(spark, sf):
-    folds = models.kfold_classifier(
-        _training_rows(spark, sf), "student_id", folds=5, max_iter=ITERATIONS, hidden=HIDDEN
-    )
-    return folds.select("fold", "accuracy", "loss")
+    """Folds over the whole stack: base models, their scores and the top model inside each."""
+    return models.kfold_stack(_training_rows(spark, sf), "student_id")
 
 
 @query
 def stack_train(spark, sf):
     rows = _training_rows(spark, sf)
-    model = models.fit_stack(rows, "student_id", FOLDS, ITERATIONS, HIDDEN)
-    return model.transform(rows).select("student_id", "label", *BASE_SCORES, "p")
+    model = models.fit_stack(rows, "student_id")
+    return model.transform(rows).select("student_id", "label", *BASE_SCORES, "p", "predicted")
 
 
 @query
 def batch_score(spark, sf):
-    model = models.fit_stack(_training_rows(spark, sf), "student_id", FOLDS, ITERATIONS, HIDDEN)
+    model = models.fit_stack(_training_rows(spark, sf), "student_id")
     students = b.profile_sheet(spark, sf).select("IDNumber", "CFIT", *ATTR_COLS)
     return models.score_students(model, filters.require_domain(students, "CFIT"))
 
 
+@query
+def scored_students(spark, sf):
+    """Which students a batch scores, by a network in place of the stack, and that none lacks a verdict."""
+    rows = _training_rows(spark, sf)
+    fitted = models.fit_all([
+        partial(models.network(FEATURES, 2, label=f"target_{name}").fit, features.binary_targets(rows))
+        for name in BASE_SCORES
+    ])
+    base = models.StackedModel(dict(zip(BASE_SCORES, fitted)), None)
+    top = models.network(STACK_FEATURES, 3).fit(tables.write_once(base.base_scores(rows), "scored"))
+    model = models.StackedModel(base.base, top)
+    scored = models.score_students(model, b.profile_sheet(spark, sf).select("IDNumber", "CFIT", *ATTR_COLS))
+    told = [F.col(f"{c}-Verdict").isNotNull() for c in COURSES]
+    return scored.select(F.col("IDNumber").alias("id_number"), (told[0] & told[1]).alias("has_verdicts"))
+
+
 @query
 def model_roundtrip(spark, sf):
     rows = _training_rows(spark, sf)
     path = new_path(spark, "model")
-    models.fit_stack(rows, "student_id", FOLDS, ITERATIONS, HIDDEN).save(path)
+    models.fit_stack(rows, "student_id").save(path)
     return models.StackedModel.load(path).transform(rows).select("student_id", "p")
 
 
+@query
+def model_store(spark, sf):
+    """A saved network gives the scores it gave before."""
+    rows = _training_rows(spark, sf)
+    path = new_path(spark, "model")
+    model = models.network(FEATURES, 3).fit(rows)
+    model.write().save(path)
+    before = models.class_probabilities(model.transform(rows)).select("student_id", F.col("p").alias("before"))
+    after = models.class_probabilities(PipelineModel.load(path).transform(rows)).select("student_id", "p")
+    return after.join(before, "student_id").select("student_id", (F.col("p") == F.col("before")).alias("is_same"))
+
+
 @query
 def corr_scores(spark, sf):
-    stacked = models.stacked_features(_training_rows(spark, sf), "student_id", FOLDS, ITERATIONS, HIDDEN)
-    return correlate.correlation_matrix(stacked, BASE_SCORES)
+    return correlate.correlation_matrix(models.stacked_features(_training_rows(spark, sf), "student_id"), BASE_SCORES)
+
+
+@query
+def base_accuracy(spark, sf):
+    """Accuracy and loss of each base model on rows it did not see."""
+    return models.base_metrics(models.stacked_features(_training_rows(spark, sf), "student_id"))
+
+
+def _forest(spark, sf):
+    return models.forest_regression(_ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES)[1]
 
 
 @query
 def forest_regress(spark, sf):
-    _, residuals = models.forest_regression(
-        _ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, trees=20, depth=8
-    )
-    return residuals
+    return _forest(spark, sf)
+
+
+@query
+def forest_mae(spark, sf):
+    return models.mean_absolute_error(_forest(spark, sf))
+
+
+@query
+def forest_test_rows(spark, sf):
+    """The rows a forest is tested on and their actual values, restored from the logarithm."""
+    positive = features.log_target(_ordinal_rows(spark, sf).filter(F.col("weighted") > 0))
+    rows = features.split_by_hash(positive, "student_id").filter("is_test")
+    return rounded(rows.select("student_id", F.col("restored").alias("actual")), "actual")
 
 
 @query
 def forest_classify(spark, sf):
-    _, scored = models.forest_classification(
-        _ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, trees=20, depth=8
-    )
-    return scored.select("student_id", "label", "p")
+    _, scored = models.forest_classification(_ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES)
+    return scored.select("student_id", "label", "p", "predicted")
 
 
 @query
 def kfold_regress(spark, sf):
-    return models.kfold_regression(
-        _ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, folds=5, max_iter=5
-    )
+    return models.kfold_regression(_ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES)
 
 
 @query
 def score_audit(spark, sf):
     rows = _ordinal_rows(spark, sf)
-    model = models.network(features.ORDINAL_FEATURES, 3, HIDDEN, ITERATIONS).fit(rows)
+    model = models.network(features.ORDINAL_FEATURES, 3).fit(rows)
     return models.score_audit(models.class_probabilities(model.transform(rows)), "student_id")
+
+
+@query
+def audit_originals(spark, sf):
+    """The audited students with the grade their weight came from."""
+    rows = _ordinal_rows(spark, sf).withColumn("p", F.array(*[F.lit(0.0)] * 3))
+    return rounded(models.score_audit(rows, "student_id").select("student_id", "original"), "original")
+
+
+@query
+def regression_audit(spark, sf):
+    rows = _ordinal_rows(spark, sf)
+    return models.regression_audit(models.boosted(features.ORDINAL_FEATURES).fit(rows).transform(rows), "student_id")
+
+
+# Rows of the survey that had no query of their own ------------------------------------
+
+
+@query
+def rank_of_one_group(spark, sf):
+    return scorecard.rank_of_group(scorecard_of(spark, sf, None), 1)
+
+
+@query
+def compare_one_group(spark, sf):
+    args = _profile_args(spark, sf)
+    rows = profile.compare_attributes(profile.group_profile(*args, group_id=1), profile.overall_profile(*args))
+    return rounded(rows, "group_value", "overall_value")
+
+
+@query
+def rejected_rows(spark, sf):
+    """Rows of a batch whose student is not stored."""
+    rows = upsert.rejected_assessments(b.profile_sheet(spark, sf), _stored_students(spark, sf))
+    return rows.select("student_key", F.col("Course").alias("course"))
+
+
+@query
+def text_cells(spark, sf):
+    """Cells with blanks at their ends, quotes, line breaks, nothing or NULL, written and read back."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    cell = (
+        F.when(key % 6 == 0, F.concat(F.lit("  "), name, F.lit(" \t")))
+        .when(key % 6 == 1, F.concat(name, F.lit('"quoted", with a comma')))
+        .when(key % 6 == 2, F.concat(name, F.lit("\nsecond line")))
+        .when(key % 6 == 3, F.lit(""))
+        .when(key % 6 == 4, F.lit(None).cast("string"))
+        .otherwise(F.concat(name, F.lit("\\")))
+    )
+    path = new_path(spark, "cells")
+    tables.write_csv(b.table(spark, sf, "customer").select(key.alias("id"), cell.alias("cell")), path)
+    return sheets.read_csv(spark, path).select(F.col("id").cast("bigint").alias("id"), "cell")

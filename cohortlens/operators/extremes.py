@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.scores import composite_score, ordinal_band, padded_square
 from cohortlens.operators.correlate import target_correlations
 from cohortlens.schema import ATTR_COLS, CONTRAST_PADDING, EXTREME_STUDENTS
+from cohortlens.sources.tables import write_once
 
 FACTORS = ["cfit_rank"] + ATTR_COLS
 SIDES = ["top", "bottom"]
@@ -28,13 +29,15 @@ def extremes(
 ) -> DataFrame:
     """The k best and the k worst composite scores, marked by ``side``.
 
-    NULL scores are the lowest. With fewer than 2k students a student is on both sides.
+    NULL scores are the lowest. With fewer than 2k students a student is on both sides. The
+    students are scored once, into a written table; both ends are taken from it.
     """
     rows = with_composite(facts if cohort is None else facts.filter(F.col("cohort_id") == cohort))
+    scored = write_once(rows, "scored")
     score = F.col("weighted_score")
     orders = {"top": score.desc_nulls_last(), "bottom": score.asc_nulls_first()}
     sides = [
-        rows.orderBy(orders[side], tie).limit(k).withColumn("side", F.lit(side)) for side in SIDES
+        scored.orderBy(orders[side], tie).limit(k).withColumn("side", F.lit(side)) for side in SIDES
     ]
     return reduce(DataFrame.unionByName, sides)
 
@@ -56,7 +59,8 @@ def extreme_correlations(
         )
         for side in SIDES
     ]
-    return reduce(DataFrame.unionByName, parts)
+    both = reduce(DataFrame.unionByName, parts)
+    return both.orderBy(F.col("side").desc(), F.abs("r").desc_nulls_last(), "target", "attribute")
 
 
 def factor_means(df: DataFrame, factors: Sequence[str] = FACTORS) -> DataFrame:

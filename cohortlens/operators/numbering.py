@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.sources.tables import write_once
 
-# Three hex digits: at most 4096 buckets per class, so the bucket totals stay small.
-_BUCKET_DIGITS = 3
+
+def _bucket_digits(df: DataFrame) -> int:
+    """Hex digits of the buckets: four buckets per shuffle partition at least, 4096 or more."""
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = 3
+    while 16**digits < wanted:
+        digits += 1
+    return digits
 
 
 def running_start(
@@ -18,15 +24,16 @@ def running_start(
 ) -> DataFrame:
     """Add the sum of ``weight`` over all earlier rows, in the order of ``md5(key)``.
 
-    ``key`` is unique within the class, so the buckets by the leading digits of its digest
-    are even. Sums run inside the buckets in parallel; only one total per bucket is summed
-    in a single window.
+    Buckets by the leading digits of a digest are even. Sums run inside the buckets in
+    parallel; only one total per bucket is summed in a single window. The number of buckets
+    changes which task does what, not the sums. Rows that repeat a key are ordered by all their
+    columns.
     """
     weight = F.lit(1) if weight is None else weight
     within = list(within)
     digest = F.md5(F.col(key).cast("string").cast("binary"))
     rows = df.withColumns({"_digest": digest, "_weight": weight.cast("long")}).withColumn(
-        "_bucket", F.substring("_digest", 1, _BUCKET_DIGITS)
+        "_bucket", F.substring("_digest", 1, _bucket_digits(df))
     )
     before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -36,12 +43,12 @@ def running_start(
     )
     inside = (
         Window.partitionBy(*within, "_bucket")
-        .orderBy("_digest")
+        .orderBy("_digest", F.xxhash64(*df.columns))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         rows.withColumn("_inside", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(F.broadcast(totals), [*within, "_bucket"])
+        .join(totals, [*within, "_bucket"])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
         .drop("_digest", "_weight", "_bucket", "_inside", "_offset")
     )

@@ -12,6 +12,7 @@ from cohortlens.operators.filters import among
 from cohortlens.operators.joins import join_long
 from cohortlens.operators.quantile import exact_median
 from cohortlens.schema import ATTRIBUTES, BAND_SCALE, COURSES, PASS_MARK
+from cohortlens.sources.tables import write_once
 
 # The measures of a profile, as named on the dashboard.
 COUNT_MEASURES = ["Total Count"] + [f"{c} Count" for c in COURSES]
@@ -66,15 +67,14 @@ def _sums_by_group(
 ) -> DataFrame:
     """Sums per known group over students with a band on the scale and a registered cohort.
 
-    The cohorts are broadcast: there is at most one per tag of the allowed range. Groups are
-    matched after the aggregation, so that join sees one row per group instead of one per
-    student.
+    Groups are matched after the aggregation, so that join sees one row per group instead of one
+    per student.
     """
     registered = cohorts.select(F.col("id").alias("cohort_id"))
     rows = (
         among(facts, "cfit", list(BAND_SCALE))
         .filter(F.col("group_id").isNotNull())
-        .join(F.broadcast(registered), "cohort_id", "left_semi")
+        .join(registered, "cohort_id", "left_semi")
     )
     known = groups.select(F.col("id").alias("group_id"), "name")
     return rows.groupBy("group_id").agg(*_partial_sums(pass_mark)).join(known, "group_id")
@@ -114,9 +114,10 @@ def group_vs_overall(
 ) -> DataFrame:
     """Per group every measure, its overall value and the difference in percent.
 
-    The overall row is added up from the group sums and enters as a scalar subquery.
+    The sums per group are written once; the overall row is added up from them and enters as a
+    scalar subquery.
     """
-    sums = _sums_by_group(facts, groups, cohorts, pass_mark)
+    sums = write_once(_sums_by_group(facts, groups, cohorts, pass_mark), "sums")
     names = [column_name(m) for m in MEASURES]
     overall = sums.agg(*_add_up(sums)).select(F.struct(*_measures()).alias("overall"))
     rows = sums.select("group_id", "name", *_measures()).withColumn("_overall", overall.scalar())

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.sources.tables import write_once
+
 _BINS = 4096
 
 
@@ -18,11 +20,14 @@ def exact_median(
     ``also`` names other aggregates (``mean``, ``min``, ``max``) to return beside it; they
     cost no further pass.
 
+    The column is written once, so that the input is not run again for every pass.
+
     A mergeable sketch brackets the middle to within a few parts in ``accuracy``. Rows below
     the bracket are only counted, equal values collapse to a count, and the bracket is cut
     into bins, so just the one or two bins around the middle are put in order.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    values = write_once(values, "values")
     margin = 2.0 / accuracy
     bracket = values.agg(
         F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("b"),

@@ -194,19 +194,13 @@ def cohort_stats(
 def top_students(facts: DataFrame, groups: DataFrame, k: int = TOP_STUDENTS) -> DataFrame:
     """Best composite scores over all cohorts, students of a known group only.
 
-    The names are joined before the cut because an unknown group drops its students.
+    Students of unknown groups drop out before the cut; the names are joined to the k rows left.
     """
-    columns = ["student_id", "student_key", "course", "group_id", "c_cert", "grade"]
-    return (
-        with_group_name(facts.select(*columns), groups)
-        .select(
-            "student_key",
-            "course",
-            "group_name",
-            "c_cert",
-            "grade",
-            composite_score(F.col("grade"), F.col("c_cert")).alias("weighted_score"),
-        )
-        .orderBy(F.col("weighted_score").desc_nulls_last(), "student_key")
-        .limit(k)
+    columns = ["student_key", "course", "group_id", "c_cert", "grade"]
+    order = [F.col("weighted_score").desc_nulls_last(), F.col("student_key")]
+    known = facts.select(*columns).join(groups.select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    best = (
+        known.withColumn("weighted_score", composite_score(F.col("grade"), F.col("c_cert"))).orderBy(*order).limit(k)
     )
+    named = ["student_key", "course", "group_name", "c_cert", "grade", "weighted_score"]
+    return with_group_name(best, groups).select(*named).orderBy(*order)

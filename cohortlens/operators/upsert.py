@@ -5,7 +5,7 @@ Every function returns the rows to add; writing them is left to the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +52,10 @@ def new_groups(batch: DataFrame, groups: DataFrame, name_column: str = "Previous
 
 
 def first_of_each(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of every key in the given order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return batch.withColumn("_first", F.row_number().over(w)).filter(F.col("_first") == 1).drop("_first")
+    """The first row of every key in the given order, reduced on the map side."""
+    row = F.struct(*batch.columns)
+    firsts = batch.groupBy(F.col(key).alias("_of")).agg(F.min_by(row, F.struct(*order)).alias("_row"))
+    return firsts.select("_row.*")
 
 
 def new_students(

@@ -33,7 +33,7 @@ FACTS = f"""facts AS (
   FROM orders
   LEFT JOIN (SELECT l_orderkey, CAST(floor(avg(l_quantity) * 1.6e0) AS INT) AS c_cert
              FROM lineitem GROUP BY l_orderkey) q ON q.l_orderkey = o_orderkey
-  JOIN embeddings e ON e.vec_id = o_orderkey % 500)"""
+  JOIN embeddings e ON e.vec_id = o_orderkey % (SELECT count(*) FROM embeddings))"""
 
 GROUPS = "grp AS (SELECT c_custkey AS id, c_name AS name FROM customer)"
 COHORTS = (
@@ -330,8 +330,8 @@ def _sql() -> dict[str, str]:
     )
     q["sink_csv"] = _card(COHORT) + "SELECT * FROM card"
     q["metrics_log"] = f + (
-        "SELECT 'passers' AS metric, CAST(count(*) AS DOUBLE) AS value FROM facts WHERE grade >= 3 AND cohort_id = 1996 "
-        "UNION ALL SELECT 'mean', round(avg(grade), 6) FROM facts WHERE grade >= 3 AND cohort_id = 1996"
+        "SELECT 'passers' AS metric, CAST(count(*) AS DOUBLE) AS value FROM facts WHERE grade >= 3 AND cohort_id = 2000 "
+        "UNION ALL SELECT 'mean', round(avg(grade), 6) FROM facts WHERE grade >= 3 AND cohort_id = 2000"
     )
     codes = " UNION ALL ".join(
         f"SELECT '{a}' AS code, CAST(count(attr_{a}) AS BIGINT) AS n_values, round(avg(attr_{a}), 6) AS mean_value FROM facts"
@@ -377,8 +377,14 @@ def _sql() -> dict[str, str]:
     )
     q["composite_score"] = f + f"SELECT student_id, {_COMPOSITE} AS weighted_score FROM facts"
     q["percent_difference"] = f + (
-        "SELECT group_id, round((sum(CASE WHEN grade >= 3 THEN 1 ELSE 0 END) / count(*) * 100 - 50) / 50 * 100, 6) "
-        "AS from_half, CAST(NULL AS DOUBLE) AS from_zero FROM facts GROUP BY group_id"
+        "SELECT group_id, round((rate - overall) / overall * 100, 6) AS from_overall, "
+        "round((rate - bsit) / nullif(bsit, 0) * 100, 6) AS from_bsit FROM ("
+        "SELECT group_id, sum(CASE WHEN grade >= 3 THEN 1 ELSE 0 END) / count(*) * 100 AS rate, "
+        "sum(CASE WHEN grade >= 3 AND course = 'BSIT' THEN 1 ELSE 0 END) "
+        "/ nullif(count(*) FILTER (course = 'BSIT'), 0) * 100 AS bsit, "
+        "(SELECT sum(CASE WHEN grade >= 3 THEN 1 ELSE 0 END) / count(*) * 100 FROM facts "
+        "WHERE group_id IS NOT NULL) AS overall "
+        "FROM facts WHERE group_id IS NOT NULL GROUP BY group_id)"
     )
     q["unpivot_attributes"] = _with(*_STAR_WITH, PROFILES) + (
         "SELECT group_id, attribute, round(value, 6) AS value FROM (" + _unpivoted("profiles", SCORE_COLS) + ")"
@@ -585,6 +591,43 @@ def _sql() -> dict[str, str]:
     )
     q["split_hash"] = t + f"SELECT student_id, {_bucket('student_id')} = 0 AS is_test FROM training"
     q["fold_assign"] = t + f"SELECT student_id, {_bucket('student_id')} AS fold FROM training"
+    q["vector_cells"] = t + " UNION ALL ".join(
+        f'SELECT student_id, {k} AS position, "{name}" AS value FROM training' for k, name in enumerate(FEATURES)
+    )
+    q["oversample_counts"] = t + (
+        "SELECT label, max(count(*)) OVER () AS n_rows, max(count(*)) OVER () - count(*) AS n_new "
+        "FROM training WHERE label IS NOT NULL GROUP BY label"
+    )
+    q["probability_sums"] = t + (
+        f"SELECT student_id, 3 AS n_classes, 1.0e0 AS total FROM training WHERE {_bucket('student_id')} = 0"
+    )
+    q["scored_students"] = f + f"SELECT student_key AS id_number, TRUE AS has_verdicts FROM facts WHERE {_ATTR_FILLED}"
+    q["model_store"] = t + "SELECT student_id, TRUE AS is_same FROM training"
+    ordinal = (
+        f" FROM facts WHERE cohort_id BETWEEN 1995 AND 2000 AND cfit IN ('L', 'BA', 'A', 'AA', 'H') AND {_ATTR_FILLED}"
+    )
+    q["forest_test_rows"] = (
+        f"{f}SELECT student_id, round(grade / 5 * 100, 6) AS actual{ordinal} AND grade > 0 "
+        f"AND {_bucket('student_id')} = 0"
+    )
+    q["audit_originals"] = f"{f}SELECT student_id, round(grade, 6) AS original{ordinal}"
+    q["rank_of_one_group"] = _card(None) + (
+        "SELECT * FROM (SELECT group_id, CASE WHEN weighted_score IS NOT NULL THEN CAST(dense_rank() OVER "
+        "(ORDER BY weighted_score DESC NULLS LAST) AS INT) END AS rank FROM card) WHERE group_id = 1"
+    )
+    q["compare_one_group"] = _with(*_STAR_WITH, PROFILES, OVERALL) + (
+        "SELECT g.attribute, round(g.value, 6) AS group_value, round(o.value, 6) AS overall_value FROM ("
+        + _unpivoted("profiles", SCORE_COLS) + ") g JOIN (" + _unpivoted("overall", SCORE_COLS, "")
+        + ") o ON o.attribute = g.attribute WHERE g.group_id = 1"
+    )
+    q["rejected_rows"] = _with(FACTS, _STORED_STUDENTS) + (
+        "SELECT student_key, course FROM facts WHERE student_key NOT IN (SELECT student_key FROM stored)"
+    )
+    q["text_cells"] = (
+        "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '  ' || c_name || ' ' || chr(9) "
+        "WHEN 1 THEN c_name || '\"quoted\", with a comma' WHEN 2 THEN c_name || chr(10) || 'second line' "
+        "WHEN 3 THEN '' WHEN 4 THEN NULL ELSE c_name || chr(92) END AS cell FROM customer"
+    )
     e = [f"abs(CAST(embedding[{k + 1}] AS DOUBLE))" for k in range(6)]
     total = f"({e[0]} + {e[1]} + {e[2]})"
     q["verdict"] = (
