@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import chat, line_dedup, mixing, outliers, pieces, quality, simhash, sketch, spans, zipwarc
+from cohortlens.llm.oracles import quality_rules
 from cohortlens.runtime import new_path
 from cohortlens.sources.tables import write_once
 
@@ -35,7 +36,7 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     marks = write_once(docs.select("doc_id", simhash.fingerprint(F.col("text"), 4).alias("mark")), "marks")
-    classed = simhash.classes(marks, ["mark"], simhash.within(["mark"], 4))
+    classed = simhash.classes(marks, ["mark"], ["mark"], 4)
     return classed.select(
         "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -55,7 +56,8 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outliers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return outliers.judged(docs, keep_text=False).select("doc_id", *outliers.BASE, "base_failed", "distance", "kept")
+    told = outliers.judged(docs, keep_text=False).withColumn("distance", F.round("distance", 6))
+    return told.select("doc_id", *outliers.BASE, "base_failed", "distance", "kept")
 
 
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLDED = "translate(trim(line, " + _BLANKS + "), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Backslashes that escaping adds to a text.
+_MARKS = """(length({0}) - length(replace({0}, chr(92), '')) + len(regexp_extract_all({0}, '<(/?turn>|[|])'))
+            + coalesce(list_sum(list_transform(regexp_extract_all({0}, '##+#'), lambda x: length(x) - 2)), 0))"""
+
 ORACLES = {
     "op2_line_dedup": f"""
 WITH lines AS (
@@ -137,6 +143,7 @@ SELECT d.*, copy, md5('{mixing.SEED}:' || doc_id || ':' || copy) AS mix_key
 FROM (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM counted WHERE n > 0)
 JOIN documents d USING (doc_id)
 """,
+    "op7_outliers": quality_rules(),
     "op8_zip_warc": """
 WITH paid AS (
     SELECT page_id, encode(coalesce(html, '')) AS payload, coalesce(html, '') AS said FROM pages
@@ -150,17 +157,15 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN payload_bytes >= 1000 AND page_id < response THEN response END AS refers_to
 FROM last
 """,
-    "op10_chat": """
+    "op10_chat": f"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
     UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
 ), sized AS (
-    SELECT *,
+    SELECT *, length(text) + {_MARKS.format("text")} AS body,
         CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
-            ELSE 5 + length(regexp_replace(replace(role, '\\', '\\\\'), '[:]', '\\:', 'g')) END AS shown,
-        length(regexp_replace(replace(text, '\\', '\\\\'), '<(/turn>|turn>|[|])', '<\\\1', 'g'))
-            + greatest(0, length(text) - length(regexp_replace(text, '#{3,}', '##', 'g'))) AS body
+            ELSE 5 + length(role) + {_MARKS.format("role")} + length(role) - length(replace(role, ':', '')) END AS shown
     FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
