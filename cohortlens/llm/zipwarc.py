@@ -342,4 +342,7 @@ def read_archives(spark: SparkSession, path: str, open_file: Callable = open_ran
     members = listed.repartition("path").mapInPandas(
         locate, "path string, start long, offsets array<long>, lengths array<long>"
     )
-    return members.repartition("path", "start").mapInPandas(read, RECORD)
+    # A member is a short row that stands for megabytes to read: a given number of partitions is
+    # not merged by their size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(tasks, "path", "start").mapInPandas(read, RECORD)
