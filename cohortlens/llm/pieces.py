@@ -6,8 +6,10 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
 THREADS = 2
-KNOWN_UNITS = 200_000
+KNOWN_UNITS = 600_000
 # One text in so many is also encoded whole by SentencePiece, besides all its units.
 WHOLE_PARITY = 16
 _ROWS = 256
@@ -135,9 +137,17 @@ def build_core(model: Model):
     return core
 
 
+def decoder(prefix: bool):
+    """Marks to spaces, byte pieces to characters; the space of the mark before a text taken off."""
+    from tokenizers import decoders
+
+    steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    return decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if prefix else steps)
+
+
 def build_tokenizer(model: Model):
     """The whole tokenizer: normaliser, space mark, model and decoder with byte fallback."""
-    from tokenizers import Regex, decoders, normalizers
+    from tokenizers import Regex, normalizers
 
     tokenizer = build_core(model)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
@@ -147,24 +157,29 @@ def build_tokenizer(model: Model):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    if model.dummy_prefix:
-        back.append(decoders.Strip(" ", 1, 0))
-    tokenizer.decoder = decoders.Sequence(back)
+    tokenizer.decoder = decoder(model.dummy_prefix)
     return tokenizer
 
 
-# A space mark can only begin a piece, behind other marks at most: no piece reaches past these.
+# No piece reaches past the end of a unit: marks and what follows up to the next mark.
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+# Appended to a model file, this turns off the mark that is put before a text.
+_NO_PREFIX = b"\x1a\x02\x18\x00"
+
+
+def _has_units(model: Model) -> bool:
+    """Whether a unit of a normalised text is encoded alike alone and within the text."""
+    across = any(MARK in piece.lstrip(MARK) for piece, _, _ in model.pieces)
+    users = any(kind == USER for _, _, kind in model.pieces)
+    return model.kind == BPE and not (model.charsmap or across or users)
 
 
 class Codec:
     """Encodes batches of texts by their distinct units, with every new unit checked.
 
-    A unit is a run of space marks and what follows up to the next mark. Where no piece has a
-    mark behind another character, units are encoded alike alone and in a text, so each
-    distinct one is encoded once and kept; the memory of units is cleared when it is full.
-    Models with pieces across marks have whole texts as units.
+    Each distinct unit is encoded once and kept; the memory of units is cleared when it is
+    full. Models whose pieces leave no such units, and unigram models, which weigh a whole text,
+    encode whole texts.
     """
 
     def __init__(self, data: bytes, threads: int = THREADS):
@@ -175,12 +190,14 @@ class Codec:
         self.model = parse_model(data)
         self.tokenizer = build_tokenizer(self.model)
         self.core = build_core(self.model)
+        self.core.decoder = decoder(prefix=False)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.reference_of_units = sentencepiece.SentencePieceProcessor(model_proto=data + _NO_PREFIX)
         self.threads = threads
-        across = any(MARK in piece.lstrip(MARK) for piece, _, _ in self.model.pieces)
-        users = any(kind == USER for _, _, kind in self.model.pieces)
-        self.by_unit = self.model.dummy_prefix and not (self.model.charsmap or across or users)
-        self.known: dict[str, tuple[bytes, str, bool]] = {}
+        self.by_unit = _has_units(self.model)
+        self.known: dict[str, bytes] = {}
+        self.differing: set[str] = set()
+        self.lossy: set[str] = set()
 
     def normalized(self, text: str) -> str:
         if not text:
@@ -190,48 +207,52 @@ class Codec:
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
     def _learn(self, units: list[str]) -> None:
-        """Encode, decode and check units that are not known yet."""
-        encoded = [e.ids for e in self.core.encode_batch(units, add_special_tokens=False)]
+        """Encode and decode units that are not known yet, and note those that come out wrong."""
         plain = [u.replace(MARK, " ") for u in units]
-        raw = [p[1:] if self.model.dummy_prefix else p for p in plain]
-        wanted = self.reference.encode(raw, num_threads=self.threads)
-        # An empty text gets no mark, so a mark alone cannot be asked for as a text.
-        wanted = [w if own else [self.reference.piece_to_id(MARK)] for own, w in zip(raw, wanted)]
-        back = self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
-        for unit, ids, text, other in zip(units, encoded, back, wanted):
-            lead = " " if self.model.dummy_prefix else ""
-            self.known[unit] = (np.array(ids, np.int32).tobytes(), lead + text, ids == other)
-
-    def _whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        encoded = [e.ids for e in self.core.encode_batch_fast(units, add_special_tokens=False)]
+        wanted = self.reference_of_units.encode(plain, num_threads=self.threads)
+        back = self.core.decode_batch(encoded, skip_special_tokens=False)
+        self.known.update(zip(units, [array("i", ids).tobytes() for ids in encoded]))
+        if encoded != wanted:
+            self.differing.update(u for u, ids, other in zip(units, encoded, wanted) if ids != other)
+        if back != plain:
+            self.lossy.update(u for u, told, own in zip(units, back, plain) if told != own)
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         wanted = self.reference.encode(texts, num_threads=self.threads)
         back = self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
-        for ids, text, other in zip(encoded, back, wanted):
-            yield np.array(ids, np.int32), text, ids == other
+        for text, ids, other, told in zip(texts, encoded, wanted, back):
+            yield np.array(ids, np.int32), ids == other, told == text
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]:
-        """(ids, decoded text, parity) of every text, in order.
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, restored) of every text, in order.
 
         Parity says that SentencePiece gives the same ids: for all units of the text and, for
-        one text in ``WHOLE_PARITY`` by a hash, for the whole text as well.
+        one text in ``WHOLE_PARITY`` by a hash, for the whole text as well. Restored says that
+        the ids decode to the text: all its units do, and it has no mark of its own, which
+        would come back as a space.
         """
         if not self.by_unit:
             yield from self._whole(texts)
             return
         parts = [_UNIT.findall(self.normalized(t)) for t in texts]
         if len(self.known) >= KNOWN_UNITS:
-            self.known.clear()
-        new = {u for units in parts for u in units if u not in self.known}
+            for memory in (self.known, self.differing, self.lossy):
+                memory.clear()
+        new = set(chain.from_iterable(parts)).difference(self.known)
         if new:
             self._learn(list(new))
+        known = self.known.__getitem__
         for text, units in zip(texts, parts):
-            found = [self.known[u] for u in units]
-            ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-            back = "".join([f[1] for f in found])
-            same = all([f[2] for f in found])
+            ids = np.frombuffer(b"".join(map(known, units)), np.int32)
+            same = not self.differing or self.differing.isdisjoint(units)
             if zlib.crc32(text.encode("utf-8", "surrogatepass")) % WHOLE_PARITY == 0:
                 same = same and self.reference.encode(text) == ids.tolist()
-            yield ids, back[1:], same
+            yield ids, same, (not self.lossy or self.lossy.isdisjoint(units)) and MARK not in text
+
+    def decode(self, lists: list[np.ndarray]) -> list[str]:
+        return self.tokenizer.decode_batch([ids.tolist() for ids in lists], skip_special_tokens=False)
 
 
 def model_bytes(path: str) -> bytes:
@@ -251,24 +272,24 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", threads: int =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("ids array<int>, parity boolean, restored boolean")
-    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(shared.value, threads)
         kind = pa.struct([("ids", pa.list_(pa.int32())), ("parity", pa.bool_()), ("restored", pa.bool_())])
         for batch in batches:
-            blocks, sizes, same, back = [], [], [], []
+            blocks, same, back = [], [], []
             for start in range(0, len(batch), _ROWS):
                 texts = [t or "" for t in batch[start : start + _ROWS].to_pylist()]
-                for text, (ids, decoded, parity) in zip(texts, codec.encode(texts)):
+                for ids, parity, restored in codec.encode(texts):
                     blocks.append(ids)
-                    sizes.append(len(ids))
                     same.append(parity)
-                    back.append(decoded == text)
+                    back.append(restored)
+            sizes = [len(ids) for ids in blocks]
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
             flat = pa.array(np.concatenate(blocks) if blocks else np.empty(0, np.int32))
             lists = pa.ListArray.from_arrays(offsets, flat)
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], fields=list(kind))
 
-    done = docs.withColumn("_coded", coded(F.col(text_col)))
+    done = docs.withColumn("_coded", encoded(F.col(text_col)))
     return done.select(
         *docs.columns,
         "_coded.ids",

@@ -56,8 +56,11 @@ def test_parity_and_round_trip(model, sf_dir):
     codec = pieces.Codec(model, 1)
     assert codec.by_unit
     wanted = codec.reference.encode(texts)
-    for text, want, (ids, back, same) in zip(texts, wanted, codec.encode(texts)):
-        assert ids.tolist() == want and same and back == text
+    coded = list(codec.encode(texts))
+    for want, (ids, same, restored) in zip(wanted, coded):
+        assert ids.tolist() == want and same and restored
+    assert codec.decode([ids for ids, _, _ in coded]) == texts
+    assert [restored for _, _, restored in codec.encode(["a\u2581b"])] == [False]
     whole = codec.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [e.ids for e in whole] == wanted
     assert codec.tokenizer.decode_batch(wanted, skip_special_tokens=False) == texts
@@ -70,10 +73,17 @@ def test_hand_made_models(kind, byte_fallback):
     texts = ["".join(rng.choices("aaabbcc  é", k=rng.randint(0, 25))) for _ in range(300)]
     codec = pieces.Codec(made_model(kind, byte_fallback), 1)
     wanted = codec.reference.encode(texts)
-    got = [ids.tolist() for ids, _, _ in codec.encode(texts)]
-    assert got == wanted
-    if byte_fallback:
-        assert [back for _, back, _ in codec.encode(texts)] == texts
+    coded = list(codec.encode(texts))
+    assert [ids.tolist() for ids, _, _ in coded] == wanted and all(same for _, same, _ in coded)
+    back = codec.decode([ids for ids, _, _ in coded])
+    assert [restored for _, _, restored in coded] == [a == b for a, b in zip(back, texts)]
+    assert not byte_fallback or back == texts
+
+
+def test_units_that_differ_are_told(model, monkeypatch):
+    codec = pieces.Codec(model, 1)
+    monkeypatch.setattr(codec, "reference_of_units", pieces.Codec(made_model(pieces.BPE, True), 1).reference_of_units)
+    assert [same for _, same, _ in codec.encode(["word", "other word"])] == [False, False]
 
 
 def test_memory_of_units_is_bounded(model, monkeypatch):
@@ -82,7 +92,7 @@ def test_memory_of_units_is_bounded(model, monkeypatch):
     for start in range(0, 1000, 100):
         texts = [f"word{k} other{k * 7}" for k in range(start, start + 100)]
         assert [i.tolist() for i, _, _ in codec.encode(texts)] == codec.reference.encode(texts)
-        assert len(codec.known) <= 50 + 200
+        assert len(codec.known) <= 50 + 400
 
 
 def test_query(spark, sf_dir):
