@@ -123,21 +123,28 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = rows.filter(F.col("id").isNotNull())
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = named.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 10_000)).first()[0]
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or [0]))])
-    placed = named.withColumn("part", F.size(F.filter(bounds, lambda b: b < F.col("id"))))
-    firsts = placed.groupBy("part").agg(F.min("id").alias("first")).orderBy("part").collect()
-    lent_to = {r["first"]: firsts[k - 1]["part"] for k, r in enumerate(firsts)}
-    lend = F.lit(None).cast("int")
-    if lent_to:
-        lend = F.create_map(*[F.lit(v) for pair in lent_to.items() for v in pair])[F.col("id")].cast("int")
-    places = F.array_compact(
-        F.array(
-            F.struct(F.col("part"), F.lit(False).alias("lent")),
-            F.when(lend.isNotNull(), F.struct(lend.alias("part"), F.lit(True).alias("lent"))),
-        )
-    )
+    bounds = np.unique(np.array(cuts or [0], np.int64))
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy()).astype(np.int32))
+
+    firsts = named.groupBy(range_of("id").alias("part")).agg(F.min("id").alias("first")).orderBy("first").collect()
+    parts = np.array([r["part"] for r in firsts], np.int32)
+    first_ids = np.array([r["first"] for r in firsts], np.int64)
+
+    @F.pandas_udf("array<struct<part: int, lent: boolean>>")
+    def places(ids: pd.Series) -> pd.Series:
+        """A row's own range and, for the first of a range, the range before it."""
+        out = []
+        for doc in ids.to_numpy():
+            at = int(np.searchsorted(first_ids, doc, side="right")) - 1
+            own = [{"part": int(parts[at]), "lent": False}]
+            out.append(own + [{"part": int(parts[at - 1]), "lent": True}] if first_ids[at] == doc else own)
+        return pd.Series(out, dtype=object)
+
     dealt = (
-        placed.select("id", "text", F.explode(places).alias("at"))
+        named.select("id", "text", F.explode(places("id")).alias("at"))
         .select("at.part", "id", "text", "at.lent")
         .repartition("part")
         .sortWithinPartitions("part", "lent", "id", "text")
