@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,16 +14,20 @@ from pyspark.sql import functions as F
 from cohortlens.sources.tables import write_once
 
 RUN = 3
-MAX_WORDS = 12
 MIN_WORDS = 8
+# Sentences of more words than this are cut behind words whose hash is divisible by CUT, and
+# behind MOST_WORDS words without such a word: the places do not depend on what stands before.
+WHOLE_WORDS = 16
+CUT = 8
+MOST_WORDS = 24
 
 # A sentence reaches to its closing mark and the white space after it, or to a line's end.
 _SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?]+(?=[^\s.!?]))*(?:[.!?]+\s+|[.!?]+$|\n\s*|$)")
-_WORDS = re.compile(rf"(?:\s*\S+){{1,{MAX_WORDS}}}\s*")
+_WORD = re.compile(r"\s*\S+\s*")
 
 
 def units(text: str | None) -> list[str]:
-    """The text in sentences, those of more than ``MAX_WORDS`` words cut after every so many.
+    """The text in sentences, long ones cut at words chosen by their hash.
 
     Joined they give the text again. A piece without words goes with the piece before it.
     """
@@ -32,13 +37,23 @@ def units(text: str | None) -> list[str]:
         if not words:
             if sentence:
                 found[-1:] = [found[-1] + sentence] if found else [sentence]
-        elif len(words) <= MAX_WORDS:
+        elif len(words) <= WHOLE_WORDS:
             found.append(sentence)
         else:
-            found += _WORDS.findall(sentence)
+            found += _cut(sentence, words)
     return found
 
 
+def _cut(sentence: str, words: list[str]) -> list[str]:
+    parts, piece = [], []
+    for word, spaced in zip(words, _WORD.findall(sentence)):
+        piece.append(spaced)
+        if len(piece) == MOST_WORDS or zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % CUT == 0:
+            parts.append("".join(piece))
+            piece = []
+    return [*parts, "".join(piece)] if piece else parts
+
+
 def span_hashes(text: str | None) -> dict[bytes, list[int]]:
     """Hash of every run of ``RUN`` units with ``MIN_WORDS`` words at least, and where it begins.
 
@@ -54,13 +69,13 @@ def span_hashes(text: str | None) -> dict[bytes, list[int]]:
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["id", "version", "high", "low", "starts"]
+    names = ["id", "version", "high", "low", "start", "again"]
     for batch in batches:
         rows = []
         for doc, version, text in batch.itertuples(index=False, name=None):
             for digest, starts in span_hashes(text).items():
                 halves = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-                rows.append((doc, version, *halves, starts))
+                rows += [(doc, version, *halves, start, start != starts[0]) for start in starts]
             if len(rows) >= 20_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -78,9 +93,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("version"), text.alias("text"))
-    spans = write_once(
-        rows.mapInPandas(_spans, "id long, version int, high long, low long, starts array<int>"), "spans"
-    )
+    schema = "id long, version int, high long, low long, start int, again boolean"
+    spans = write_once(rows.mapInPandas(_spans, schema), "spans")
     # A null id counts as the smallest.
     order = F.coalesce("id", F.lit(-(2**63)))
     firsts = (
@@ -89,18 +103,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .filter(F.col("first") < F.col("last"))
         .select("high", "low", "first")
     )
-    elsewhere = (
-        spans.join(firsts, ["high", "low"])
-        .filter(order > F.col("first"))
-        .select("id", "version", F.col("starts").alias("begins"))
-    )
-    again = spans.filter(F.size("starts") > 1).select(
-        "id", "version", F.expr("slice(starts, 2, size(starts) - 1)").alias("begins")
-    )
-    covered = F.array_distinct(
-        F.flatten(F.collect_list(F.flatten(F.transform("begins", lambda b: F.sequence(b, b + RUN - 1)))))
-    )
-    return elsewhere.unionAll(again).groupBy("id", "version").agg(covered.alias("covered"))
+    columns = ["id", "version", "start"]
+    elsewhere = spans.drop("again").join(firsts, ["high", "low"]).filter(order > F.col("first")).select(*columns)
+    found = elsewhere.unionAll(spans.filter("again").select(*columns)).groupBy("id", "version")
+    units_of = F.transform(F.collect_set("start"), lambda start: F.sequence(start, start + RUN - 1))
+    return found.agg(F.array_distinct(F.flatten(units_of)).alias("covered"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -123,4 +123,10 @@ def test_spans_of_odd_rows(spark):
 def test_units_join_to_the_text(sf_dir):
     for (text,) in duckdb.sql(f"select text from '{sf_dir}/documents.parquet'").fetchall():
         assert "".join(spans.units(text)) == text
-        assert all(len(u.split()) <= spans.MAX_WORDS for u in spans.units(text))
+        assert all(len(u.split()) <= spans.MOST_WORDS for u in spans.units(text))
+
+
+def test_cuts_do_not_depend_on_what_stands_before():
+    words = [f"w{k}" for k in range(400)]
+    one, two = (spans.units(" ".join(["x"] * lead + words)) for lead in (3, 17))
+    assert len(set(one) & set(two)) >= 0.8 * len(one)
