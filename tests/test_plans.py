@@ -51,5 +51,17 @@ def test_scorecard_aggregates_before_the_group_join(spark, sf_dir):
     assert plan.count("partial_count") == 1
 
 
+@pytest.mark.parametrize("name, scans", [("join_star3", 4), ("join_star4", 4), ("merge_results", 6), ("top10_students", 4)])
+def test_each_table_is_scanned_once(spark, sf_dir, name, scans):
+    """Without broadcasting too: no join evaluates its input more than once."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(spark, sf_dir, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("FileScan") <= scans
+
+
 def test_top_k_does_not_sort_everything(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan_of(spark, sf_dir, "top10_groups")
