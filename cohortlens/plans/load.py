@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.joins import merge_on_id
 from cohortlens.operators.upsert import check_tag, new_assessments, new_groups, new_students
+from cohortlens.runtime import scratch
 from cohortlens.sources.sheets import clean_profile, clean_results
 from cohortlens.sources.tables import TableStore, write_once
 
@@ -58,4 +59,5 @@ def load_batches(store: TableStore, batches: Sequence[DataFrame], tag: int) -> N
 def load(store: TableStore, courses: Sequence[CourseSheets], tag: int | str) -> None:
     """Load the sheets of all courses under one cohort tag."""
     checked = check_tag(tag)
-    load_batches(store, [write_once(stage(c), "staged") for c in courses], checked)
+    with scratch(store.spark):
+        load_batches(store, [write_once(stage(c), "staged") for c in courses], checked)

@@ -16,6 +16,7 @@ from cohortlens.operators.models import (
     mean_and_spread,
     score_students,
 )
+from cohortlens.runtime import scratch
 from cohortlens.schema import LABEL_CUTS
 from cohortlens.sources.tables import log_metrics, write_once
 
@@ -30,11 +31,17 @@ def train(
     max_iter: int = 60,
     hidden: Sequence[int] = (32,),
 ) -> DataFrame:
-    """Evaluate the stack by folds, log the means, fit on everything and save; returns the fold scores."""
-    frame = write_once(training_frame(facts, cohorts, cuts), "training")
-    scores = write_once(kfold_stack(frame, "student_id", folds, max_iter, hidden), "folds")
-    log_metrics(facts.sparkSession, metrics_path, uuid.uuid4().hex, mean_and_spread(scores).first().asDict())
-    fit_stack(frame, "student_id", folds, max_iter, hidden).save(model_path)
+    """Evaluate the stack by folds, log the means, fit on everything and save; returns the fold scores.
+
+    The intermediate tables are removed when the model is saved.
+    """
+    spark = facts.sparkSession
+    with scratch(spark):
+        frame = write_once(training_frame(facts, cohorts, cuts), "training")
+        folded = kfold_stack(frame, "student_id", folds, max_iter, hidden)
+        scores = spark.createDataFrame(folded.collect(), folded.schema)  # one row per fold
+        log_metrics(spark, metrics_path, uuid.uuid4().hex, mean_and_spread(scores).first().asDict())
+        fit_stack(frame, "student_id", folds, max_iter, hidden).save(model_path)
     return scores
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.runtime import new_path
+from cohortlens.runtime import new_path, note_written
 from cohortlens.schema import (
     ASSESSMENTS,
     BAND_SCALE,
@@ -106,6 +106,7 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back, for use in several places."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    note_written(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from cohortlens.operators.upsert import check_tag
 from cohortlens.plans.load import load_batches
+from cohortlens.runtime import scratch
 from cohortlens.sources.tables import TableStore, write_once
 
 
@@ -24,7 +25,8 @@ def load_stream(staged: DataFrame, store: TableStore, tag: int | str, progress:
     checked = check_tag(tag)
 
     def add(batch: DataFrame, _: int) -> None:
-        load_batches(store, [write_once(batch, "arrived")], checked)
+        with scratch(store.spark):
+            load_batches(store, [write_once(batch, "arrived")], checked)
 
     return (
         staged.writeStream.foreachBatch(add)

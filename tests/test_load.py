@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +220,16 @@ def test_database_reader_wants_bounds(spark):
         tables.read_database(spark, "jdbc:none", "t", {}, partition_column="id")
 
 
+def test_load_leaves_no_intermediate_table(spark, store, batch):
+    def written():
+        root = Path(shared_dir(spark).removeprefix("file:")) / spark.sparkContext.applicationId
+        return {p.name for p in root.iterdir() if p.name.startswith(("staged", "new-rows"))}
+
+    before = written()
+    load(store, batch, 2999)
+    assert written() == before and store.read("students").count() == 4
+
+
 def test_text_cells_come_back_as_they_were(spark):
     cells = ["  pad name \t", "", None, "l1\nl2", 'a "quoted", cell', "back\\slash", "plain"]
     path = new_path(spark, "cells")
