@@ -35,8 +35,9 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Columns of those names are replaced. A null text has no words; all its figures are 0.
     """
-    own = docs.drop(*ADDED)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # The document's columns travel in one struct, apart from the names used on the way.
+    own = docs.select(F.struct(*docs.drop(*ADDED).columns).alias("_doc"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    text = F.col("_text")
     stripped = F.btrim(text, F.lit(WHITESPACE))
     words = F.when(stripped == "", F.array().cast("array<string>")).otherwise(
         F.split(stripped, r"[ \t\n\x0b\x0c\r]+")
@@ -82,7 +83,7 @@ def with_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return (
         placed.withColumn("n_repeat_words", covered)
         .withColumn("base_failed", failed)
-        .select(*own.columns, *ADDED)
+        .select("_doc.*", *ADDED)
     )
 
 
@@ -238,12 +239,15 @@ def judged(
     normal data. Columns named like the added ones are replaced; the table is written once
     with its figures, so that a text is read once.
     """
-    docs = docs.drop("distance", "kept", "_lang", "_source", *DIMS)
-    wanted = docs.columns if keep_text else [c for c in docs.columns if c != text_col]
-    base = with_base(docs, text_col).select(
-        *[c for c in wanted if c not in ADDED], *ADDED, F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source")
+    added = (*BASE, "base_failed", "distance", "kept")
+    wanted = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
+    rows = docs.select(
+        F.struct(*wanted).alias("_doc"),
+        F.col(lang_col).alias("_lang"),
+        F.col(source_col).alias("_source"),
+        F.col(text_col).alias("_judged"),
     )
-    measured = write_once(with_vector(base), "measured")
+    measured = write_once(with_vector(with_base(rows, "_judged").drop("_judged")), "measured")
     passed = measured.filter(~F.col("base_failed"))
     large = (
         passed.groupBy("_lang", "_source").agg((F.count(F.lit(1)) >= MIN_GROUP).alias("large"))
@@ -264,6 +268,4 @@ def judged(
     distance = F.sqrt("d2")
     cut = math.sqrt(chi_square_cut(1 - TAIL, len(DIMS)))
     kept = ~F.col("base_failed") & F.coalesce(distance <= cut, F.lit(True))
-    return rows.withColumns({"distance": distance, "kept": kept}).select(
-        *[c for c in wanted if c not in ADDED], *BASE, "base_failed", "distance", "kept"
-    )
+    return rows.withColumns({"distance": distance, "kept": kept}).select("_doc.*", *added)

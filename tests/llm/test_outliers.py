@@ -131,9 +131,11 @@ def test_outlier_of_its_group(spark):
     rows = [(k, words(200, 5), "en", "a" if k < 80 else None) for k in range(160)]
     rows += [(200, words(200, 30), "en", "a"), (201, words(200, 5) + " ###$$$ " * 100, "en", None), (202, words(200, 30), "xx", "a")]
     rows += [(300, None, "en", "a"), (301, "", None, None), (302, words(60_000, 5), "en", "a"), (0, rows[0][1], "en", "a")]
-    docs = spark.createDataFrame([(*r, 1, 2.0) for r in rows], DOC + ", kept int, n_lines double")
+    docs = spark.createDataFrame([(*r, 1, 2.0, 3) for r in rows], DOC + ", kept int, n_lines double, own int")
     judged = outliers.judged(docs)
-    assert len(judged.columns) == len(set(judged.columns))
+    assert judged.columns[:6] == ["doc_id", "text", "lang", "source", "n_lines", "own"]
+    assert len(judged.columns) == len(set(judged.columns)) == 14
+    assert {(r.n_lines, r.own) for r in judged.select("n_lines", "own").collect()} == {(2.0, 3)}
     got = judged.collect()
     assert len(got) == len(rows)
     kept = {r.doc_id: r.kept for r in got}
