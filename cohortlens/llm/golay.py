@@ -43,38 +43,61 @@ def nearest(words: np.ndarray) -> np.ndarray:
     return (words ^ error[remainder]) >> CHECK
 
 
-def around(words: np.ndarray, width: int) -> np.ndarray:
-    """Per word, the codeword indices of itself (first) and of all words one bit away."""
-    flips = np.array([0] + [1 << b for b in range(width)], np.uint32)
-    return nearest(words[:, None] ^ flips)
+# Bits of a 64-bit fingerprint in each segment, and the parts of the bits outside of one.
+WIDTHS = (22, 21, 21)
+PARTS = 5
+_KINDS = 32
 
 
-# Bits of a 64-bit fingerprint in each segment.
-WIDTHS = (22, 21, 21)
+def _slices(values: np.ndarray, start: int, width: int) -> np.ndarray:
+    return values >> np.uint64(start) & np.uint64((1 << width) - 1)
 
 
-def segments(fingerprints: np.ndarray) -> list[np.ndarray]:
-    values = fingerprints.astype(np.int64).view(np.uint64)
-    parts, shift = [], 0
-    for width in WIDTHS:
-        parts.append((values >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.uint32))
-        shift += width
-    return parts
+def _without(values: np.ndarray, start: int, width: int) -> np.ndarray:
+    """The bits outside a segment, closed up."""
+    above = values >> np.uint64(start + width) if start + width < 64 else np.zeros_like(values)
+    return above << np.uint64(start) | _slices(values, 0, start)
+
+
+def _indexed(words: np.ndarray) -> np.ndarray:
+    """Codeword index and parity of 23-bit words, 13 bits."""
+    return nearest(words).astype(np.int64) << 1 | np.bitwise_count(words) & 1
 
 
 def fuzzy_keys(fingerprints: np.ndarray, tag: int = 0) -> list[np.ndarray]:
     """Keys of each 64-bit fingerprint; two that differ in four bits or fewer share one.
 
-    Four errors leave two of the three segments with two errors or fewer between them. For each
-    pair of segments the keys are the pairs of codeword indices of every word at most one bit
-    away over both, so words two bits apart meet in the word between them. A perfect code
-    gives few distinct indices for these words: six at most per segment. Keys of other pairs
-    of segments, and of other ``tag`` values, never meet.
+    Errors are divided by pigeonholes. Of three segments, either one has no error: then the
+    four errors leave one of ``PARTS`` parts of the other bits without any, and segment and
+    part are a key. Or each has one: then two segments have exactly one, for with a third the
+    errors would be five. For these, each pair of segments gives the codeword indices of both,
+    one of them with each of its bits turned in turn. The words are decoded, so that the many
+    turned words fall to six codewords at most; turning the one wrong bit makes the segment of
+    one fingerprint that of the other, whose key has the turned bit in the other segment. The
+    parity of the words is part of the key. Keys of other pairs, segments, parts, and ``tag``
+    values never meet.
     """
-    near = [around(part, width).astype(np.int64) for part, width in zip(segments(fingerprints), WIDTHS)]
-    found = []
-    for number, (i, j) in enumerate(combinations(range(len(WIDTHS)), 2)):
-        base = (tag * 4 + number) << (2 * DATA)
-        found.append(base | near[i] << DATA | near[j][:, :1])
-        found.append(base | near[i][:, :1] << DATA | near[j])
-    return [np.unique(row) for row in np.concatenate(found, axis=1)] if len(fingerprints) else []
+    if not len(fingerprints):
+        return []
+    values = fingerprints.astype(np.int64).view(np.uint64)
+    starts = [sum(WIDTHS[:k]) for k in range(len(WIDTHS))]
+    parts = [_slices(values, start, width) for start, width in zip(starts, WIDTHS)]
+    found, kind = [], tag * _KINDS
+    for part, start, width in zip(parts, starts, WIDTHS):
+        rest, size = _without(values, start, width), 64 - width
+        cuts = [round(size * k / PARTS) for k in range(PARTS + 1)]
+        for low, high in zip(cuts, cuts[1:]):
+            exact = part << np.uint64(9) | _slices(rest, low, high - low)
+            found.append((exact.astype(np.int64) | kind << 32)[:, None])
+            kind += 1
+    words = [part.astype(np.uint32) for part in parts]
+    plain = [_indexed(word)[:, None] for word in words]
+    turned = [
+        _indexed(word[:, None] ^ np.array([1 << b for b in range(width)], np.uint32))
+        for word, width in zip(words, WIDTHS)
+    ]
+    for i, j in combinations(range(len(WIDTHS)), 2):
+        for left, right in ((turned[i], plain[j]), (plain[i], turned[j])):
+            found.append(left << DATA + 1 | right | kind << 32)
+        kind += 1
+    return [np.unique(row) for row in np.concatenate(found, axis=1)]

@@ -40,109 +40,85 @@ def differing_bits(left: Column, right: Column) -> Column:
     return F.bit_count(left.bitwiseXOR(right))
 
 
-def within(columns: Sequence[str], bits: int) -> Callable[[str, str], Column]:
-    """Condition on two aliased rows: at most ``bits`` differing bits over all the columns."""
+Close = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
-    def close(left: str, right: str) -> Column:
-        pairs = [differing_bits(F.col(f"{left}.{c}"), F.col(f"{right}.{c}")) for c in columns]
+
+def within(columns: Sequence[str], bits: int) -> Close:
+    """Condition on two rows: at most ``bits`` differing bits over all the columns."""
+
+    def close(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
+        pairs = [differing_bits(left(c), right(c)) for c in columns]
         return sum(pairs[1:], pairs[0]) <= bits
 
     return close
 
 
-def _keyed(vertices: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(key, node): the fuzzy keys of every searched fingerprint."""
+def _keyed(vertices: DataFrame, searched: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """(key, kept columns): a row for every fuzzy key of the searched fingerprints."""
 
     @F.pandas_udf("array<long>")
     def keys(*fingerprints: pd.Series) -> pd.Series:
         each = [fuzzy_keys(f.to_numpy(), tag) for tag, f in enumerate(fingerprints)]
         return pd.Series([np.concatenate(row) for row in zip(*each)], dtype=object)
 
-    return vertices.select("node", F.explode(keys(*[F.col(c) for c in columns])).alias("key"))
+    # Nothing is null; said here, it is the same in every plan, and plans can share a shuffle.
+    known = " AND ".join(f"{c} IS NOT NULL" for c in kept)
+    rows = vertices.filter(known).select(F.explode(keys(*[F.col(c) for c in searched])).alias("key"), *kept)
+    return rows.filter("key IS NOT NULL")
 
 
-def linked(
-    vertices: DataFrame, searched: Sequence[str], close: Callable[[str, str], Column]
-) -> DataFrame:
+def linked(vertices: DataFrame, searched: Sequence[str], compared: Sequence[str], close: Close) -> DataFrame:
     """(node, root) of every node linked to a smaller one, over chains of links.
 
-    ``vertices`` has one row per distinct fingerprint with a distinct, non-null ``node``;
-    ``searched`` are the columns whose fuzzy keys bring candidates together and ``close`` is
-    the condition on two rows for a link. All candidates that share a key are linked exactly,
-    without listing the pairs of a group: first each node is compared with the smallest node
-    of its key, and the groups found so are joined up; then only nodes of different groups
-    that share a key are compared, each with the key's main group and, outside of that, with
-    each other. A group of alike nodes thus costs one comparison per node and key.
+    ``vertices`` has one row per distinct fingerprint with a non-null ``node``; ``searched``
+    are the columns whose fuzzy keys bring candidates together and ``close`` is the condition
+    on the ``compared`` columns of two rows for a link. All candidates that share a key are
+    judged, inside the joins, where those that are not close leave no row; and the pairs of a
+    group of alike nodes are not listed: first each node is compared with the smallest node of
+    its key, and the groups found so are joined up; then only links between different groups
+    are looked for. Distinct fingerprints that share a key differ in few of few bits, so a key
+    has no part of the table's size; copies are one vertex.
     """
-    keyed = _keyed(vertices, searched)
-    heads = (
-        keyed.groupBy("key")
-        .agg(F.min("node").alias("head"), F.max("node").alias("last"))
-        .filter(F.col("head") < F.col("last"))
-        .select("key", "head")
-    )
-    shared = write_once(
-        keyed.join(heads, "key").filter(F.col("node") > F.col("head")).select("key", "node", "head"), "shared"
-    )
-    fields = [c for c in vertices.columns if c != "node"]
-
-    def described(pairs: DataFrame, left: str, right: str) -> DataFrame:
-        for side, name in ((left, "l"), (right, "r")):
-            other = vertices.select(F.col("node").alias(side), F.struct(*fields).alias(name))
-            pairs = pairs.join(other, side)
-        return pairs
-
-    heads_linked = write_once(
-        described(shared.select("node", "head").distinct(), "node", "head")
-        .filter(close("l", "r"))
-        .select(F.col("node").alias("a"), F.col("head").alias("b")),
-        "head-links",
-    )
-    groups = components(heads_linked)
-
-    members = shared.select("key", "node").unionAll(
-        shared.select("key", F.col("head").alias("node")).distinct()
-    )
-    grouped = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = (
-        grouped.groupBy("key")
-        .agg(F.min_by("root", "node").alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter(F.col("low") < F.col("high"))
-        .select("key", "main")
-    )
-    rows = grouped.join(mixed, "key").join(
-        vertices.select("node", F.struct(*fields).alias("f")), "node"
+    keyed = _keyed(vertices, searched, ["node", *compared]).repartition("key")
+    heads = keyed.groupBy("key").agg(
+        F.min("node").alias("head"), *[F.min_by(c, "node").alias(f"head_{c}") for c in compared]
     )
-    rows = write_once(
-        rows.select("key", "node", "root", (F.col("root") == F.col("main")).alias("in_main"), "f"), "mixed"
-    )
-    left = rows.filter(~F.col("in_main")).select(
-        "key", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("f").alias("l")
-    )
-    right = rows.select(
-        "key", F.col("node").alias("b"), F.col("root").alias("b_root"), "in_main", F.col("f").alias("r")
+    at_head = (
+        (keyed["key"] == heads["key"])
+        & (F.col("node") > F.col("head"))
+        & close(lambda c: keyed[c], lambda c: heads[f"head_{c}"])
     )
+    near_head = keyed.join(heads, at_head).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near_head = write_once(near_head.distinct(), "head-links")
+    groups = components(near_head)
+
+    grouped = vertices.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _keyed(write_once(grouped, "grouped"), searched, ["node", "root", *compared])
+    left = rows.withColumnsRenamed({c: f"a_{c}" for c in rows.columns})
+    right = rows.withColumnsRenamed({c: f"b_{c}" for c in rows.columns})
     across = left.join(
         right,
-        (left["key"] == right["key"])
-        & (F.col("a_root") != F.col("b_root"))
-        & (F.col("in_main") | (F.col("a") < F.col("b")))
-        & close("l", "r"),
-    ).select("a", "b")
-    return components(heads_linked.unionAll(across))
+        (F.col("a_key") == F.col("b_key"))
+        & (F.col("a_root") < F.col("b_root"))
+        & close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")),
+    ).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return components(near_head.unionAll(across))
 
 
-def classes(fingerprints: DataFrame, searched: Sequence[str], close, id_col: str = "doc_id") -> DataFrame:
+def classes(
+    fingerprints: DataFrame, searched: Sequence[str], compared: Sequence[str], bits: int, id_col: str = "doc_id"
+) -> DataFrame:
     """``fingerprints`` (id and fingerprint columns) with ``component_id``: the smallest id reachable.
 
-    Equal fingerprints are one vertex, however many documents share them. Rows without an id
+    Two rows are linked when their searched columns share a fuzzy key and their compared ones
+    differ in ``bits`` bits at most. Equal fingerprints are one vertex, however many documents share them. Rows without an id
     cannot be named: they take no part and have a null component. Each of several rows with one
     id is placed by its own fingerprint.
     """
     fields = [c for c in fingerprints.columns if c != id_col]
     own = fingerprints.filter(F.col(id_col).isNotNull())
     vertices = write_once(own.groupBy(*fields).agg(F.min(id_col).cast("long").alias("node")), "vertices")
-    roots = linked(vertices, searched, close)
+    roots = linked(vertices, searched, compared, within(compared, bits))
     named = vertices.join(roots, "node", "left").select(
         *fields, F.coalesce("root", "node").alias("component_id")
     )
@@ -181,5 +157,5 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = write_once(docs.select(id_col, marks(text).alias("m")).select(id_col, "m.*"), "marks")
     searched = [f"f{k}" for k in range(len(SEARCH_SEEDS))]
     compared = [f"f{len(SEARCH_SEEDS) + k}" for k in range(len(COMPARE_SEEDS))]
-    classed = classes(marked, searched, within(compared, CLOSE_BITS), id_col)
+    classed = classes(marked, searched, compared, CLOSE_BITS, id_col)
     return classed.select(id_col, "component_id")
