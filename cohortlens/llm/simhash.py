@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +54,8 @@ def within(columns: Sequence[str], bits: int) -> Close:
     return close
 
 
-def _keyed(vertices: DataFrame, searched: Sequence[str], kept: Sequence[str]) -> DataFrame:
-    """(key, kept columns): a row for every fuzzy key of the searched fingerprints."""
+def _keyed(vertices: DataFrame, searched: Sequence[str], kept: Sequence[str], bands: str | None = None) -> DataFrame:
+    """(key, kept columns): a row for every fuzzy key of the searched fingerprints and every one in ``bands``."""
 
     @F.pandas_udf("array<long>")
     def keys(*fingerprints: pd.Series) -> pd.Series:
@@ -63,15 +64,25 @@ def _keyed(vertices: DataFrame, searched: Sequence[str], kept: Sequence[str]) ->
 
     # Nothing is null; said here, it is the same in every plan, and plans can share a shuffle.
     known = " AND ".join(f"{c} IS NOT NULL" for c in kept)
-    rows = vertices.filter(known).select(F.explode(keys(*[F.col(c) for c in searched])).alias("key"), *kept)
+    found = keys(*[F.col(c) for c in searched])
+    if bands is not None:
+        found = F.concat(found, F.col(bands))
+    rows = vertices.filter(known).select(F.explode(found).alias("key"), *kept)
     return rows.filter("key IS NOT NULL")
 
 
-def linked(vertices: DataFrame, searched: Sequence[str], compared: Sequence[str], close: Close) -> DataFrame:
+def linked(
+    vertices: DataFrame,
+    searched: Sequence[str],
+    compared: Sequence[str],
+    close: Close,
+    bands: str | None = None,
+) -> DataFrame:
     """(node, root) of every node linked to a smaller one, over chains of links.
 
     ``vertices`` has one row per distinct fingerprint with a non-null ``node``; ``searched``
-    are the columns whose fuzzy keys bring candidates together and ``close`` is the condition
+    are the columns whose fuzzy keys bring candidates together, ``bands`` a column with lists of
+    more keys, and ``close`` is the condition
     on the ``compared`` columns of two rows for a link. All candidates that share a key are
     judged, inside the joins, where those that are not close leave no row; and the pairs of a
     group of alike nodes are not listed: first each node is compared with the smallest node of
@@ -79,7 +90,7 @@ def linked(vertices: DataFrame, searched: Sequence[str], compared: Sequence[str]
     are looked for. Distinct fingerprints that share a key differ in few of few bits, so a key
     has no part of the table's size; copies are one vertex.
     """
-    keyed = _keyed(vertices, searched, ["node", *compared]).repartition("key")
+    keyed = _keyed(vertices, searched, ["node", *compared], bands).repartition("key")
     heads = keyed.groupBy("key").agg(
         F.min("node").alias("head"), *[F.min_by(c, "node").alias(f"head_{c}") for c in compared]
     )
@@ -93,7 +104,7 @@ def linked(vertices: DataFrame, searched: Sequence[str], compared: Sequence[str]
     groups = components(near_head)
 
     grouped = vertices.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = _keyed(write_once(grouped, "grouped"), searched, ["node", "root", *compared])
+    rows = _keyed(write_once(grouped, "grouped"), searched, ["node", "root", *compared], bands)
     left = rows.withColumnsRenamed({c: f"a_{c}" for c in rows.columns})
     right = rows.withColumnsRenamed({c: f"b_{c}" for c in rows.columns})
     across = left.join(
@@ -106,11 +117,16 @@ def linked(vertices: DataFrame, searched: Sequence[str], compared: Sequence[str]
 
 
 def classes(
-    fingerprints: DataFrame, searched: Sequence[str], compared: Sequence[str], bits: int, id_col: str = "doc_id"
+    fingerprints: DataFrame,
+    searched: Sequence[str],
+    compared: Sequence[str],
+    bits: int,
+    id_col: str = "doc_id",
+    bands: str | None = None,
 ) -> DataFrame:
     """``fingerprints`` (id and fingerprint columns) with ``component_id``: the smallest id reachable.
 
-    Two rows are linked when their searched columns share a fuzzy key and their compared ones
+    Two rows are linked when their searched columns share a fuzzy key, or their ``bands`` a key, and their compared ones
     differ in ``bits`` bits at most. Equal fingerprints are one vertex, however many documents share them. Rows without an id
     cannot be named: they take no part and have a null component. Each of several rows with one
     id is placed by its own fingerprint.
@@ -118,7 +134,7 @@ def classes(
     fields = [c for c in fingerprints.columns if c != id_col]
     own = fingerprints.filter(F.col(id_col).isNotNull())
     vertices = write_once(own.groupBy(*fields).agg(F.min(id_col).cast("long").alias("node")), "vertices")
-    roots = linked(vertices, searched, compared, within(compared, bits))
+    roots = linked(vertices, searched, compared, within(compared, bits), bands)
     named = vertices.join(roots, "node", "left").select(
         *fields, F.coalesce("root", "node").alias("component_id")
     )
@@ -132,6 +148,22 @@ def classes(
 SEARCH_SEEDS, COMPARE_SEEDS = (42, 7), (42, 7)
 SHINGLE = 5
 CLOSE_BITS = 28
+# Bands of minima of the shingle hashes; two texts of likeness J share one with the chance
+# 1 - (1 - J^ROWS)^BANDS: 99.96 % at 0.8, whatever the edit.
+BANDS, ROWS = 20, 5
+_TURNS = np.random.default_rng(2025).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A negative key for each band of minima over the hashes, so that none meets a fuzzy key; none for no hashes."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 512):
+        least = np.minimum(least, np.multiply.outer(_TURNS, hashes[start : start + 512]).min(axis=1))
+    bands = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) | 1 << 63 for k, band in enumerate(bands)]
+    return np.array(keys, np.uint64).view(np.int64)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,23 +171,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     At that likeness a fingerprint over five-word shingles differs in 5 to 14 of 64 bits, too
     many to search for. The sets of words differ far less, so fingerprints over the distinct
-    words are searched by their fuzzy keys, and what they bring together is compared by 128
+    words are searched by their fuzzy keys; added or removed text changes these more, so bands
+    of minima over the shingles are keys as well. What they bring together is compared by 128
     bits over the shingles: up to ``CLOSE_BITS`` may differ. Texts without words are alike.
     """
-    text = F.col(text_col)
+    searched = [f"f{k}" for k in range(len(SEARCH_SEEDS))]
+    compared = [f"f{len(SEARCH_SEEDS) + k}" for k in range(len(COMPARE_SEEDS))]
+    names = [*searched, *compared, "bands"]
 
-    @F.pandas_udf(", ".join(f"f{k} long" for k in range(len(SEARCH_SEEDS) + len(COMPARE_SEEDS))))
+    @F.pandas_udf(", ".join(f"{c} long" for c in names[:-1]) + ", bands array<long>")
     def marks(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             rows.append(
                 [majority(shingle_hashes(t, 1, s, distinct=True)) for s in SEARCH_SEEDS]
                 + [majority(shingle_hashes(t, SHINGLE, s)) for s in COMPARE_SEEDS]
+                + [band_keys(shingle_hashes(t, SHINGLE))]
             )
-        return pd.DataFrame(rows, columns=[f"f{k}" for k in range(len(SEARCH_SEEDS) + len(COMPARE_SEEDS))], dtype="int64")
+        return pd.DataFrame(rows, columns=names).astype({c: "int64" for c in names[:-1]})
 
-    marked = write_once(docs.select(id_col, marks(text).alias("m")).select(id_col, "m.*"), "marks")
-    searched = [f"f{k}" for k in range(len(SEARCH_SEEDS))]
-    compared = [f"f{len(SEARCH_SEEDS) + k}" for k in range(len(COMPARE_SEEDS))]
-    classed = classes(marked, searched, compared, CLOSE_BITS, id_col)
+    marked = write_once(docs.select(id_col, marks(F.col(text_col)).alias("m")).select(id_col, "m.*"), "marks")
+    classed = classes(marked, searched, compared, CLOSE_BITS, id_col, "bands")
     return classed.select(id_col, "component_id")

@@ -146,3 +146,37 @@ def test_fingerprint_counts_repeats(spark, size):
     text = "a b c d " * 3 + "e f"
     got = spark.createDataFrame([(1, text)], SCHEMA).select(simhash.fingerprint(F.col("text"), size)).first()[0]
     assert got & (1 << 64) - 1 == plain_fingerprint(text, size)
+
+
+def edited(rng, words, kind, vocabulary):
+    """A copy with a fifth added at the end, cut off at the end, or scattered words substituted."""
+    if kind == "appended":
+        return words + rng.choices(vocabulary, k=len(words) // 5)
+    if kind == "cut":
+        return words[: len(words) - len(words) // 6]
+    copy = list(words)
+    for place in rng.sample(range(len(words)), len(words) // 60):
+        copy[place] = rng.choice(vocabulary)
+    return copy
+
+
+def likeness(left, right):
+    a, b = (set(simhash.shingle_hashes(t, simhash.SHINGLE).tolist()) for t in (left, right))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_of_every_edit_are_brought_together():
+    """Pairs alike to 0.8 or more share a key, also where text was added or cut off."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    for kind in ("appended", "cut", "substituted"):
+        met = of = 0
+        for size in (60, 300, 1000):
+            for _ in range(40):
+                words = rng.choices(vocabulary, k=size)
+                pair = [" ".join(words), " ".join(edited(rng, words, kind, vocabulary))]
+                if likeness(*pair) >= 0.8:
+                    of += 1
+                    one, two = (simhash.band_keys(simhash.shingle_hashes(t, simhash.SHINGLE)) for t in pair)
+                    met += bool(set(one.tolist()) & set(two.tolist()))
+        assert of >= 80 and met >= 0.99 * of
