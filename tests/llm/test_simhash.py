@@ -180,3 +180,25 @@ def test_copies_of_every_edit_are_brought_together():
                     one, two = (simhash.band_keys(simhash.shingle_hashes(t, simhash.SHINGLE)) for t in pair)
                     met += bool(set(one.tolist()) & set(two.tolist()))
         assert of >= 80 and met >= 0.99 * of
+
+
+def test_near_classes_are_those_of_the_likeness(spark):
+    """Chains and pairs below 0.8 do not go together; those of 0.8 or more do, for every edit."""
+    rng = random.Random(33)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(4000)]
+    texts = []
+    for _ in range(25):
+        words = rng.choices(vocabulary, k=rng.choice([30, 120, 400]))
+        texts.append(" ".join(words))
+        for kind in ("appended", "cut", "substituted"):
+            texts.append(" ".join(edited(rng, words, kind, vocabulary)))
+        copy = list(words)
+        for place in range(0, len(words), 24):
+            copy[place] = rng.choice(vocabulary)
+        texts += [" ".join(copy), " ".join([*words, *words]), " ".join(words).upper()]
+    texts += ["", " ", "one two", "One  two", "one two three"]
+    sets = [set(simhash.shingle_hashes(t, simhash.SHINGLE).tolist()) for t in texts]
+    pairs = combinations(range(len(texts)), 2)
+    want = plain_components(range(len(texts)), [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    got = simhash.near_classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
