@@ -309,10 +309,13 @@ def forest_classification(
     features: Sequence[str] = FEATURES,
     trees: int = 5000,
     per_split: int = 10,
-    depth: int = 10,
+    depth: int = 30,
     seed: int = 42,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Forest on the label, and the test rows with their class probabilities."""
+    """Forest on the label, and the test rows with their class probabilities.
+
+    Spark limits the depth of a tree to 30.
+    """
     text = frame.filter(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("string"))
     marked = split_by_hash(text, row_id)
     stages = [

@@ -133,6 +133,17 @@ def test_forests_and_boosting(spark, sf_dir):
     assert folds.count() == 2
 
 
+def test_forest_classification_grows_deep_trees(spark):
+    """The parity of twelve marks needs trees of more than ten levels."""
+    names = [f"b{k}" for k in range(12)]
+    bits = [F.shiftright("id", k).bitwiseAND(1) for k in range(12)]
+    marks = spark.range(1 << 12).select(
+        "id", *[b.alias(n) for b, n in zip(bits, names)], (F.bit_count("id") % 2).alias("label")
+    )
+    model, _ = models.forest_classification(marks, "id", names, trees=2)
+    assert max(tree.depth for tree in model.stages[-1].trees) > 10
+
+
 def test_audit_restores_the_grade(spark):
     scored = spark.createDataFrame([(1, 60.0, [0.1, 0.2, 0.7])], "id int, weighted double, p array<double>")
     row = models.score_audit(scored, "id").first()
