@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +22,6 @@ UNIGRAM, BPE = 1, 2
 
 THREADS = 2
 KNOWN_UNITS = 600_000
-# One text in so many is also encoded whole by SentencePiece, besides all its units.
-WHOLE_PARITY = 16
 _ROWS = 256
 
 
@@ -190,14 +187,12 @@ class Codec:
         self.model = parse_model(data)
         self.tokenizer = build_tokenizer(self.model)
         self.core = build_core(self.model)
-        self.core.decoder = decoder(prefix=False)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.reference_of_units = sentencepiece.SentencePieceProcessor(model_proto=data + _NO_PREFIX)
         self.threads = threads
         self.by_unit = _has_units(self.model)
         self.known: dict[str, bytes] = {}
         self.differing: set[str] = set()
-        self.lossy: set[str] = set()
 
     def normalized(self, text: str) -> str:
         if not text:
@@ -207,16 +202,13 @@ class Codec:
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
     def _learn(self, units: list[str]) -> None:
-        """Encode and decode units that are not known yet, and note those that come out wrong."""
+        """Encode units that are not known yet, and note those that come out wrong."""
         plain = [u.replace(MARK, " ") for u in units]
         encoded = [e.ids for e in self.core.encode_batch_fast(units, add_special_tokens=False)]
         wanted = self.reference_of_units.encode(plain, num_threads=self.threads)
-        back = self.core.decode_batch(encoded, skip_special_tokens=False)
         self.known.update(zip(units, [array("i", ids).tobytes() for ids in encoded]))
         if encoded != wanted:
             self.differing.update(u for u, ids, other in zip(units, encoded, wanted) if ids != other)
-        if back != plain:
-            self.lossy.update(u for u, told, own in zip(units, back, plain) if told != own)
 
     def _whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -228,28 +220,25 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, restored) of every text, in order.
 
-        Parity says that SentencePiece gives the same ids: for all units of the text and, for
-        one text in ``WHOLE_PARITY`` by a hash, for the whole text as well. Restored says that
-        the ids decode to the text: all its units do, and it has no mark of its own, which
-        would come back as a space.
+        Parity says that SentencePiece gives the same ids, for all units of the text and for the
+        whole text. Restored says that the whole list of ids decodes to the text.
         """
         if not self.by_unit:
             yield from self._whole(texts)
             return
         parts = [_UNIT.findall(self.normalized(t)) for t in texts]
         if len(self.known) >= KNOWN_UNITS:
-            for memory in (self.known, self.differing, self.lossy):
+            for memory in (self.known, self.differing):
                 memory.clear()
         new = set(chain.from_iterable(parts)).difference(self.known)
         if new:
             self._learn(list(new))
         known = self.known.__getitem__
-        for text, units in zip(texts, parts):
-            ids = np.frombuffer(b"".join(map(known, units)), np.int32)
+        lists = [np.frombuffer(b"".join(map(known, units)), np.int32) for units in parts]
+        wanted = self.reference.encode(texts, num_threads=self.threads)
+        for text, units, ids, other, told in zip(texts, parts, lists, wanted, self.decode(lists)):
             same = not self.differing or self.differing.isdisjoint(units)
-            if zlib.crc32(text.encode("utf-8", "surrogatepass")) % WHOLE_PARITY == 0:
-                same = same and self.reference.encode(text) == ids.tolist()
-            yield ids, same, (not self.lossy or self.lossy.isdisjoint(units)) and MARK not in text
+            yield ids, same and ids.tolist() == other, told == text
 
     def decode(self, lists: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([ids.tolist() for ids in lists], skip_special_tokens=False)

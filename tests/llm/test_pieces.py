@@ -86,6 +86,15 @@ def test_units_that_differ_are_told(model, monkeypatch):
     assert [same for _, same, _ in codec.encode(["word", "other word"])] == [False, False]
 
 
+def test_whole_texts_are_checked(model, monkeypatch):
+    """A difference that shows in whole texts only is told for every text, not for a sample."""
+    texts = [f"some words {k}" for k in range(64)]
+    codec = pieces.Codec(model, 1)
+    monkeypatch.setattr(codec, "reference", pieces.Codec(made_model(pieces.BPE, True), 1).reference)
+    codec.tokenizer.decoder = pieces.decoder(prefix=False)
+    assert [(same, restored) for _, same, restored in codec.encode(texts)] == [(False, False)] * 64
+
+
 def test_memory_of_units_is_bounded(model, monkeypatch):
     monkeypatch.setattr(pieces, "KNOWN_UNITS", 50)
     codec = pieces.Codec(model, 1)
