@@ -34,10 +34,8 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    marks = write_once(docs.select("doc_id", simhash.fingerprint(F.col("text"), 4).alias("mark")), "marks")
-    classed = simhash.classes(marks, ["mark"], ["mark"], 4)
-    return classed.select(
+    grouped = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return grouped.select(
         "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

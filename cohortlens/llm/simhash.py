@@ -151,11 +151,29 @@ def classes(
         fingerprints.filter(F.col(id_col).isNull()).withColumn("component_id", F.lit(None).cast("long"))
     )
 
+SHINGLE, BITS = 4, 4
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(id, mark, component_id): fingerprint over word shingles and the smallest id linked to it.
+
+    Fingerprints that differ in ``bits`` bits at most are linked (four at most: ``fuzzy_keys``
+    promise no more), and links chain. Nothing else is compared. Null and empty texts have
+    fingerprint zero and are linked like any other; a text is taken whole, however long. Each of
+    several rows with one id is placed by its own text; rows without an id keep their fingerprint
+    and have a null component. Other columns of ``docs`` are not read.
+    """
+    if bits > 4:
+        raise ValueError("keys meet for four differing bits at most")
+    marks = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("mark"))
+    classed = classes(write_once(marks, "marks"), ["mark"], ["mark"], bits)
+    return classed.select(F.col("doc_id").alias(id_col), "mark", "component_id")
+
 
 # Seeds of the fingerprints over single words, which are searched, and over shingles, which
 # are compared.
 SEARCH_SEEDS, COMPARE_SEEDS = (42, 7), (42, 7)
-SHINGLE = 5
+WORDS = 5
 # Bits of the compared fingerprints that may differ before the likeness itself is counted: at
 # 0.8 they differ in 19 of 128 on average, with a deviation of 4.
 CLOSE_BITS = 38
@@ -179,7 +197,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def alike(left: str, right: str) -> bool:
     """Whether the sets of five-word shingles have 0.8 or more of their union in common."""
-    one, two = (shingle_hashes(t, SHINGLE, distinct=True) for t in (left, right))
+    one, two = (shingle_hashes(t, WORDS, distinct=True) for t in (left, right))
     both = len(np.intersect1d(one, two, assume_unique=True))
     return 5 * both >= 4 * (len(one) + len(two) - both)
 
@@ -215,7 +233,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def marks(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            shingles = [shingle_hashes(t, SHINGLE, s, distinct=True) for s in COMPARE_SEEDS]
+            shingles = [shingle_hashes(t, WORDS, s, distinct=True) for s in COMPARE_SEEDS]
             whole = xxhash.xxh3_128_digest(shingles[0].tobytes())
             rows.append(
                 [majority(shingle_hashes(t, 1, s, distinct=True)) for s in SEARCH_SEEDS]

@@ -50,7 +50,7 @@ def test_near_copies(kept):
     marks, keys = {}, {}
     for r in kept[2]:
         words = [simhash.majority(shingle_hashes(r.text, 1, s, distinct=True)) for s in simhash.SEARCH_SEEDS]
-        runs = [simhash.majority(shingle_hashes(r.text, simhash.SHINGLE, s)) for s in simhash.COMPARE_SEEDS]
+        runs = [simhash.majority(shingle_hashes(r.text, simhash.WORDS, s)) for s in simhash.COMPARE_SEEDS]
         keys[r.doc_id] = {int(k) for tag, w in enumerate(words) for k in golay.fuzzy_keys(np.array([w]), tag)[0]}
         marks[r.doc_id] = [m & (1 << 64) - 1 for m in runs]
     links = [

@@ -161,7 +161,7 @@ def edited(rng, words, kind, vocabulary):
 
 
 def likeness(left, right):
-    a, b = (set(simhash.shingle_hashes(t, simhash.SHINGLE).tolist()) for t in (left, right))
+    a, b = (set(simhash.shingle_hashes(t, simhash.WORDS).tolist()) for t in (left, right))
     return len(a & b) / len(a | b)
 
 
@@ -177,7 +177,7 @@ def test_copies_of_every_edit_are_brought_together():
                 pair = [" ".join(words), " ".join(edited(rng, words, kind, vocabulary))]
                 if likeness(*pair) >= 0.8:
                     of += 1
-                    one, two = (simhash.band_keys(simhash.shingle_hashes(t, simhash.SHINGLE)) for t in pair)
+                    one, two = (simhash.band_keys(simhash.shingle_hashes(t, simhash.WORDS)) for t in pair)
                     met += bool(set(one.tolist()) & set(two.tolist()))
         assert of >= 80 and met >= 0.99 * of
 
@@ -197,7 +197,7 @@ def test_near_classes_are_those_of_the_likeness(spark):
             copy[place] = rng.choice(vocabulary)
         texts += [" ".join(copy), " ".join([*words, *words]), " ".join(words).upper()]
     texts += ["", " ", "one two", "One  two", "one two three"]
-    sets = [set(simhash.shingle_hashes(t, simhash.SHINGLE).tolist()) for t in texts]
+    sets = [set(simhash.shingle_hashes(t, simhash.WORDS).tolist()) for t in texts]
     pairs = combinations(range(len(texts)), 2)
     want = plain_components(range(len(texts)), [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
     got = simhash.near_classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
