@@ -27,9 +27,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; see ``near_classes``."""
-    classes = simhash.near_classes(docs)
-    first = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    """One document of each group of near copies stays, that of the smallest id; see ``near_groups``.
+
+    Rows that repeat the id that stays all stay, and so do rows without an id.
+    """
+    groups = simhash.near_groups(docs)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
     named = docs.select(*COLUMNS).join(first.distinct(), "doc_id")
     return named.unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL")).select(*COLUMNS)
 
