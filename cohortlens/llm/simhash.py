@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,12 +27,12 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprint(text: Column, shingle: int, seed: int = 42, distinct: bool = False) -> Column:
+def fingerprint(text: Column, shingle: int, seed: int = 42) -> Column:
     """64-bit SimHash of a text's word shingles (see ``shingle_hashes``); null counts as empty."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([majority(shingle_hashes(t, shingle, seed, distinct)) for t in texts], dtype="int64")
+        return pd.Series([majority(shingle_hashes(t, shingle, seed)) for t in texts], dtype="int64")
 
     return of(text)
 
@@ -41,120 +41,78 @@ def differing_bits(left: Column, right: Column) -> Column:
     return F.bit_count(left.bitwiseXOR(right))
 
 
-Verify = Callable[[DataFrame], DataFrame]
-Close = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
-
-
-def within(columns: Sequence[str], bits: int) -> Close:
-    """Condition on two rows: at most ``bits`` differing bits over all the columns."""
-
-    def close(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
-        pairs = [differing_bits(left(c), right(c)) for c in columns]
-        return sum(pairs[1:], pairs[0]) <= bits
-
-    return close
-
-
-def _keyed(vertices: DataFrame, searched: Sequence[str], kept: Sequence[str], bands: str | None = None) -> DataFrame:
-    """(key, kept columns): a row for every fuzzy key of the searched fingerprints and every one in ``bands``."""
+def _keyed(vertices: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """(key, kept columns): a row for every fuzzy key of the fingerprint ``mark``."""
 
     @F.pandas_udf("array<long>")
-    def keys(*fingerprints: pd.Series) -> pd.Series:
-        each = [fuzzy_keys(f.to_numpy(), tag) for tag, f in enumerate(fingerprints)]
-        return pd.Series([np.concatenate(row) for row in zip(*each)], dtype=object)
+    def keys(marks: pd.Series) -> pd.Series:
+        return pd.Series(fuzzy_keys(marks.to_numpy()), dtype=object)
 
     # Nothing is null; said here, it is the same in every plan, and plans can share a shuffle.
     known = " AND ".join(f"{c} IS NOT NULL" for c in kept)
-    found = keys(*[F.col(c) for c in searched])
-    if bands is not None:
-        found = F.concat(found, F.col(bands))
-    rows = vertices.filter(known).select(F.explode(found).alias("key"), *kept)
+    rows = vertices.filter(known).select(F.explode(keys("mark")).alias("key"), *kept)
     return rows.filter("key IS NOT NULL")
 
 
-def linked(
-    vertices: DataFrame,
-    searched: Sequence[str],
-    compared: Sequence[str],
-    close: Close,
-    bands: str | None = None,
-    verify: Verify | None = None,
-) -> DataFrame:
+def linked(vertices: DataFrame, bits: int) -> DataFrame:
     """(node, root) of every node linked to a smaller one, over chains of links.
 
-    ``vertices`` has one row per distinct fingerprint with a non-null ``node``; ``searched``
-    are the columns whose fuzzy keys bring candidates together, ``bands`` a column with lists of
-    more keys, and ``close`` is the condition
-    on the ``compared`` columns of two rows for a link; ``verify`` keeps those of the distinct
-    close pairs (a, b) that are links after all. All candidates that share a key are
-    judged, inside the joins, where those that are not close leave no row; and the pairs of a
-    group of alike nodes are not listed: first each node is compared with the smallest node of
-    its key, and the groups found so are joined up; then only links between different groups
-    are looked for. Distinct fingerprints that share a key differ in few of few bits, so a key
-    has no part of the table's size; copies are one vertex.
+    ``vertices`` has one row per distinct fingerprint ``mark`` with a non-null ``node``. All
+    fingerprints that share a fuzzy key are judged, inside the joins, where those that differ in
+    more than ``bits`` bits leave no row; and the pairs of a group of alike nodes are not
+    listed: first each node is compared with the smallest node of its key, and the groups found
+    so are joined up; then only links between different groups are looked for. Distinct
+    fingerprints that share a key differ in few of few bits, so a key has no part of the
+    table's size; copies are one vertex.
     """
-    keyed = _keyed(vertices, searched, ["node", *compared], bands).repartition("key")
-    heads = keyed.groupBy("key").agg(
-        F.min("node").alias("head"), *[F.min_by(c, "node").alias(f"head_{c}") for c in compared]
-    )
+    keyed = _keyed(vertices, ["node", "mark"]).repartition("key")
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.min_by("mark", "node").alias("head_mark"))
     at_head = (
         (keyed["key"] == heads["key"])
         & (F.col("node") > F.col("head"))
-        & close(lambda c: keyed[c], lambda c: heads[f"head_{c}"])
+        & (differing_bits(keyed["mark"], heads["head_mark"]) <= bits)
     )
     near_head = keyed.join(heads, at_head).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near_head = tried = write_once(near_head.distinct(), "head-links")
-    if verify is not None:
-        near_head = write_once(verify(tried), "head-links")
+    near_head = write_once(near_head.distinct(), "head-links")
     groups = components(near_head)
 
     grouped = vertices.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = _keyed(write_once(grouped, "grouped"), searched, ["node", "root", *compared], bands)
+    rows = _keyed(write_once(grouped, "grouped"), ["node", "root", "mark"])
     left = rows.withColumnsRenamed({c: f"a_{c}" for c in rows.columns})
     right = rows.withColumnsRenamed({c: f"b_{c}" for c in rows.columns})
     across = left.join(
         right,
         (F.col("a_key") == F.col("b_key"))
         & (F.col("a_root") < F.col("b_root"))
-        & close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")),
+        & (differing_bits(F.col("a_mark"), F.col("b_mark")) <= bits),
     ).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    if verify is not None:
-        across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        across = verify(write_once(across.join(tried, ["a", "b"], "left_anti"), "across"))
     return components(near_head.unionAll(across))
 
 
-def classes(
-    fingerprints: DataFrame,
-    searched: Sequence[str],
-    compared: Sequence[str],
-    bits: int,
-    id_col: str = "doc_id",
-    bands: str | None = None,
-    verify: Verify | None = None,
-) -> DataFrame:
-    """``fingerprints`` (id and fingerprint columns) with ``component_id``: the smallest id reachable.
+def classes(marks: DataFrame, bits: int, id_col: str = "doc_id") -> DataFrame:
+    """``marks`` (id and fingerprint ``mark``) with ``component_id``: the smallest id reachable.
 
-    Two rows are linked when their searched columns share a fuzzy key, or their ``bands`` a key, and their compared ones
-    differ in ``bits`` bits at most, and ``verify`` keeps the pair. Equal fingerprints are one vertex, however many documents share them. Rows without an id
-    cannot be named: they take no part and have a null component. Each of several rows with one
-    id is placed by its own fingerprint.
+    Fingerprints are linked when they differ in ``bits`` bits at most. Equal ones are one
+    vertex, however many documents share them. Rows without an id cannot be named: they take no
+    part and have a null component. Each of several rows with one id is placed by its own
+    fingerprint.
     """
-    fields = [c for c in fingerprints.columns if c != id_col]
-    own = fingerprints.filter(F.col(id_col).isNotNull())
-    vertices = write_once(own.groupBy(*fields).agg(F.min(id_col).cast("long").alias("node")), "vertices")
-    roots = linked(vertices, searched, compared, within(compared, bits), bands, verify)
-    named = vertices.join(roots, "node", "left").select(
-        *fields, F.coalesce("root", "node").alias("component_id")
+    own = marks.filter(F.col(id_col).isNotNull())
+    vertices = write_once(own.groupBy("mark").agg(F.min(id_col).cast("long").alias("node")), "vertices")
+    named = vertices.join(linked(vertices, bits), "node", "left").select(
+        "mark", F.coalesce("root", "node").alias("component_id")
     )
-    return own.join(named, fields).unionByName(
-        fingerprints.filter(F.col(id_col).isNull()).withColumn("component_id", F.lit(None).cast("long"))
+    return own.join(named, "mark").select(*marks.columns, "component_id").unionByName(
+        marks.filter(F.col(id_col).isNull()).withColumn("component_id", F.lit(None).cast("long"))
     )
 
+
 SHINGLE, BITS = 4, 4
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS
+) -> DataFrame:
     """(id, mark, component_id): fingerprint over word shingles and the smallest id linked to it.
 
     Fingerprints that differ in ``bits`` bits at most are linked (four at most: ``fuzzy_keys``
@@ -166,83 +124,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if bits > 4:
         raise ValueError("keys meet for four differing bits at most")
     marks = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("mark"))
-    classed = classes(write_once(marks, "marks"), ["mark"], ["mark"], bits)
+    classed = classes(write_once(marks, "marks"), bits)
     return classed.select(F.col("doc_id").alias(id_col), "mark", "component_id")
-
-
-# Seeds of the fingerprints over single words, which are searched, and over shingles, which
-# are compared.
-SEARCH_SEEDS, COMPARE_SEEDS = (42, 7), (42, 7)
-WORDS = 5
-# Bits of the compared fingerprints that may differ before the likeness itself is counted: at
-# 0.8 they differ in 19 of 128 on average, with a deviation of 4.
-CLOSE_BITS = 38
-# Bands of minima of the shingle hashes; two texts of likeness J share one with the chance
-# 1 - (1 - J^ROWS)^BANDS: 99.96 % at 0.8, whatever the edit.
-BANDS, ROWS = 20, 5
-_TURNS = np.random.default_rng(2025).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A negative key for each band of minima over the hashes, so that none meets a fuzzy key; none for no hashes."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 512):
-        least = np.minimum(least, np.multiply.outer(_TURNS, hashes[start : start + 512]).min(axis=1))
-    bands = least.reshape(BANDS, ROWS)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) | 1 << 63 for k, band in enumerate(bands)]
-    return np.array(keys, np.uint64).view(np.int64)
-
-
-def alike(left: str, right: str) -> bool:
-    """Whether the sets of five-word shingles have 0.8 or more of their union in common."""
-    one, two = (shingle_hashes(t, WORDS, distinct=True) for t in (left, right))
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return 5 * both >= 4 * (len(one) + len(two) - both)
-
-
-def _verifier(docs: DataFrame, id_col: str, text_col: str) -> Verify:
-    """Keeps the pairs (a, b) of ids whose texts are ``alike``."""
-    same = F.pandas_udf(lambda left, right: pd.Series([alike(a, b) for a, b in zip(left, right)], dtype=bool), "boolean")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a")
-        both = left.join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
-        return both.filter(same("left", "right")).select("a", "b").distinct()
-
-    return verify
-
-
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of near duplicates: five-word shingles alike to 0.8 or more.
-
-    At that likeness a fingerprint over five-word shingles differs in 5 to 14 of 64 bits, too
-    many to search for. The sets of words differ far less, so fingerprints over the distinct
-    words are searched by their fuzzy keys; added or removed text changes these more, so bands
-    of minima over the shingles are keys as well. What they bring together is sifted by 128
-    bits over the distinct shingles, and the likeness of the texts that are left is counted.
-    Texts with the same set of shingles are one vertex; texts without words are alike.
-    """
-    searched = [f"f{k}" for k in range(len(SEARCH_SEEDS))]
-    compared = [f"f{len(SEARCH_SEEDS) + k}" for k in range(len(COMPARE_SEEDS))]
-    names = [*searched, *compared, "set_high", "set_low", "bands"]
-
-    @F.pandas_udf(", ".join(f"{c} long" for c in names[:-1]) + ", bands array<long>")
-    def marks(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            shingles = [shingle_hashes(t, WORDS, s, distinct=True) for s in COMPARE_SEEDS]
-            whole = xxhash.xxh3_128_digest(shingles[0].tobytes())
-            rows.append(
-                [majority(shingle_hashes(t, 1, s, distinct=True)) for s in SEARCH_SEEDS]
-                + [majority(hashes) for hashes in shingles]
-                + [int.from_bytes(half, "big", signed=True) for half in (whole[:8], whole[8:])]
-                + [band_keys(shingles[0])]
-            )
-        return pd.DataFrame(rows, columns=names).astype({c: "int64" for c in names[:-1]})
-
-    marked = write_once(docs.select(id_col, marks(F.col(text_col)).alias("m")).select(id_col, "m.*"), "marks")
-    classed = classes(marked, searched, compared, CLOSE_BITS, id_col, "bands", _verifier(docs, id_col, text_col))
-    return classed.select(id_col, "component_id")
