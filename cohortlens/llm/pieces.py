@@ -158,25 +158,24 @@ def build_tokenizer(model: Model):
     return tokenizer
 
 
-# No piece reaches past the end of a unit: marks and what follows up to the next mark.
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-# Appended to a model file, this turns off the mark that is put before a text.
-_NO_PREFIX = b"\x1a\x02\x18\x00"
+# A unit is a run of marks with what follows it, written without its first mark.
+_UNIT = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 
 
 def _has_units(model: Model) -> bool:
     """Whether a unit of a normalised text is encoded alike alone and within the text."""
     across = any(MARK in piece.lstrip(MARK) for piece, _, _ in model.pieces)
     users = any(kind == USER for _, _, kind in model.pieces)
-    return model.kind == BPE and not (model.charsmap or across or users)
+    changed = model.charsmap or model.single_spaces or not model.dummy_prefix
+    return model.kind == BPE and not (changed or across or users)
 
 
 class Codec:
-    """Encodes batches of texts by their distinct units, with every new unit checked.
+    """Encodes batches of texts by their distinct units, and checks every whole text.
 
-    Each distinct unit is encoded once and kept; the memory of units is cleared when it is
-    full. Models whose pieces leave no such units, and unigram models, which weigh a whole text,
-    encode whole texts.
+    Each distinct unit is encoded once and kept, and SentencePiece decodes it once; the memory of
+    units is cleared when it is full. Models whose pieces leave no such units, and unigram models, which weigh a whole
+    text, encode and decode whole texts.
     """
 
     def __init__(self, data: bytes, threads: int = THREADS):
@@ -188,27 +187,28 @@ class Codec:
         self.tokenizer = build_tokenizer(self.model)
         self.core = build_core(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.reference_of_units = sentencepiece.SentencePieceProcessor(model_proto=data + _NO_PREFIX)
         self.threads = threads
         self.by_unit = _has_units(self.model)
         self.known: dict[str, bytes] = {}
-        self.differing: set[str] = set()
+        self.lossy: set[str] = set()
 
-    def normalized(self, text: str) -> str:
+    @staticmethod
+    def units(text: str) -> list[str]:
+        """The units of a text with one mark before it; none of an empty text."""
         if not text:
-            return ""
-        if self.model.charsmap or self.model.single_spaces:
-            return self.tokenizer.normalizer.normalize_str(text)
-        return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
+            return []
+        spaced = " " + text
+        if "  " in spaced or MARK in text:
+            return _UNIT.findall(spaced.replace(" ", MARK))
+        return text.split(" ")
 
     def _learn(self, units: list[str]) -> None:
-        """Encode units that are not known yet, and note those that come out wrong."""
-        plain = [u.replace(MARK, " ") for u in units]
-        encoded = [e.ids for e in self.core.encode_batch_fast(units, add_special_tokens=False)]
-        wanted = self.reference_of_units.encode(plain, num_threads=self.threads)
+        """Encode units that are not known yet, and note those that do not decode to themselves."""
+        encoded = [e.ids for e in self.core.encode_batch_fast([MARK + u for u in units], add_special_tokens=False)]
+        told = self.reference.decode(encoded, num_threads=self.threads)
         self.known.update(zip(units, [array("i", ids).tobytes() for ids in encoded]))
-        if encoded != wanted:
-            self.differing.update(u for u, ids, other in zip(units, encoded, wanted) if ids != other)
+        if told != units:
+            self.lossy.update(u for u, back in zip(units, told) if back != u.replace(MARK, " "))
 
     def _whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -220,25 +220,25 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         """(ids, parity, restored) of every text, in order.
 
-        Parity says that SentencePiece gives the same ids, for all units of the text and for the
-        whole text. Restored says that the whole list of ids decodes to the text.
+        Parity says that SentencePiece gives the same ids for the whole text. Restored says that
+        the ids decode to the text: every unit does, and no mark of the text itself becomes a space.
         """
         if not self.by_unit:
             yield from self._whole(texts)
             return
-        parts = [_UNIT.findall(self.normalized(t)) for t in texts]
+        parts = [self.units(t) for t in texts]
         if len(self.known) >= KNOWN_UNITS:
-            for memory in (self.known, self.differing):
-                memory.clear()
+            self.known.clear()
+            self.lossy.clear()
         new = set(chain.from_iterable(parts)).difference(self.known)
         if new:
             self._learn(list(new))
         known = self.known.__getitem__
-        lists = [np.frombuffer(b"".join(map(known, units)), np.int32) for units in parts]
         wanted = self.reference.encode(texts, num_threads=self.threads)
-        for text, units, ids, other, told in zip(texts, parts, lists, wanted, self.decode(lists)):
-            same = not self.differing or self.differing.isdisjoint(units)
-            yield ids, same and ids.tolist() == other, told == text
+        for text, units, other in zip(texts, parts, wanted):
+            ids = b"".join(map(known, units))
+            restored = MARK not in text and (not self.lossy or self.lossy.isdisjoint(units))
+            yield np.frombuffer(ids, np.int32), array("i", other).tobytes() == ids, restored
 
     def decode(self, lists: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([ids.tolist() for ids in lists], skip_special_tokens=False)
@@ -253,9 +253,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", threads: int =
     """The columns of ``docs``, ``ids``, ``n_ids``, ``parity`` and ``restored``.
 
     ``ids`` are the piece ids without begin and end marks; ``parity`` says that SentencePiece
-    gives the same ids and ``restored`` that the decoded ids are the text again. Null and
-    empty texts have no ids. Columns of those names in ``docs`` are replaced. The model goes to
-    the tasks as its file's bytes.
+    gives the same ids for the whole text and ``restored`` that the ids decode to the text. Null
+    and empty texts have no ids; texts are encoded whole, however long. Other columns and repeated
+    rows stay as they are; columns of those names in ``docs`` are replaced. The model goes to the
+    tasks as its file's bytes.
     """
     docs = docs.drop("ids", "n_ids", "parity", "restored")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -80,10 +80,13 @@ def test_hand_made_models(kind, byte_fallback):
     assert not byte_fallback or back == texts
 
 
-def test_units_that_differ_are_told(model, monkeypatch):
+def test_units_that_do_not_decode_are_told(model):
     codec = pieces.Codec(model, 1)
-    monkeypatch.setattr(codec, "reference_of_units", pieces.Codec(made_model(pieces.BPE, True), 1).reference_of_units)
-    assert [same for _, same, _ in codec.encode(["word", "other word"])] == [False, False]
+    codec._learn(["word", "other"])
+    codec.lossy.add("word")
+    assert [restored for _, _, restored in codec.encode(["word", "other word", "other", ""])] == [False, False, True, True]
+    lossy = pieces.Codec(made_model(pieces.BPE, False), 1)
+    assert [restored for _, _, restored in lossy.encode(["ab", "é ab", "ab c"])] == [True, False, True]
 
 
 def test_whole_texts_are_checked(model, monkeypatch):
@@ -91,8 +94,18 @@ def test_whole_texts_are_checked(model, monkeypatch):
     texts = [f"some words {k}" for k in range(64)]
     codec = pieces.Codec(model, 1)
     monkeypatch.setattr(codec, "reference", pieces.Codec(made_model(pieces.BPE, True), 1).reference)
-    codec.tokenizer.decoder = pieces.decoder(prefix=False)
-    assert [(same, restored) for _, same, restored in codec.encode(texts)] == [(False, False)] * 64
+    assert [(same, restored) for _, same, restored in codec.encode(texts)] == [(False, True)] * 64
+
+
+def test_units_make_up_every_text(model):
+    """Whole lists of ids decoded by the library are the texts, over all documents of the largest table."""
+    codec = pieces.Codec(model, 8)
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet'").fetchall()]
+    for start in range(0, len(texts), 1000):
+        block = texts[start : start + 1000]
+        coded = list(codec.encode(block))
+        assert all(same and restored for _, same, restored in coded)
+        assert codec.decode([ids for ids, _, _ in coded]) == block
 
 
 def test_memory_of_units_is_bounded(model, monkeypatch):
