@@ -93,7 +93,8 @@ def test_whole_texts_are_checked(model, monkeypatch):
     """A difference that shows in whole texts only is told for every text, not for a sample."""
     texts = [f"some words {k}" for k in range(64)]
     codec = pieces.Codec(model, 1)
-    monkeypatch.setattr(codec, "reference", pieces.Codec(made_model(pieces.BPE, True), 1).reference)
+    encode = codec.reference.encode
+    monkeypatch.setattr(codec.reference, "encode", lambda given, **way: [[*ids[:-1], 5] for ids in encode(given, **way)])
     assert [(same, restored) for _, same, restored in codec.encode(texts)] == [(False, True)] * 64
 
 
