@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, line_dedup, mixing, outliers, pieces, quality, simhash, sketch, spans, zipwarc
+from cohortlens.llm import (
+    alignment,
+    chat,
+    language,
+    line_dedup,
+    mixing,
+    outliers,
+    periodic,
+    pieces,
+    quality,
+    simhash,
+    sketch,
+    spans,
+    zipwarc,
+)
 from cohortlens.llm.oracles import quality_rules
 from cohortlens.runtime import new_path
 from cohortlens.sources.tables import write_once
@@ -15,6 +31,7 @@ from cohortlens.sources.tables import write_once
 # Every source is to have the same share of the mixture.
 MIX_WEIGHTS = {f"src{k}": 1.0 for k in range(20)}
 PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTES_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 SAID = "\\### Assistant: </turn> ok"
 
 
@@ -83,6 +100,61 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows))
 
 
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    filters = language.train(docs.filter(~held_out))
+    told = language.predict(docs.drop("lang"), filters)
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, alignment.Sides(BYTES_MODEL, PIECES_MODEL))
+    return aligned.select(*alignment.COLUMNS)
+
+
+def _with_repeats(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """Every tenth text, by the CRC-32 of its id, with words from a place on repeated with a period."""
+    out = []
+    for doc, text in zip(ids.to_pylist(), texts.to_pylist()):
+        mark = 1 if doc is None else zlib.crc32(str(doc).encode())
+        words = text.encode().split() if text and mark % 10 == 0 else []
+        if words:
+            size, group = len(words), mark // 10
+            start = group % size
+            period = 1 + (size - start) // (3 + group % 8)
+            text = b" ".join(words[:start] + [words[start + k % period] for k in range(size - start)]).decode()
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def _text_digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def periodic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repeated = F.arrow_udf(_with_repeats, "string")("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated.alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period)))
+    lines = F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n")))
+    return (
+        periodic.periodic_runs(docs)
+        .withColumn("best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            (-F.col("best.col2")).alias("start"),
+            F.col("best.length").alias("length"),
+            (-F.col("best.col3")).alias("period"),
+            F.floor(1000 * F.col("best.length") / -F.col("best.col3")).alias("exponent_milli"),
+            _text_digest(F.array_join(lines, "")).alias("runs_sha256"),
+            _text_digest(F.col("collapsed")).alias("collapsed_sha256"),
+            "n_words",
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_query,
     "op2_line_dedup": line_dedup_query,
@@ -94,6 +166,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_zip_warc": warc_query,
     "op9_sentencepiece": pieces_query,
     "op10_chat": chat_query,
+    "op11_language": language_query,
+    "op12_alignment": alignment_query,
+    "op13_periodic": periodic_query,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
