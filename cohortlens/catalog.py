@@ -897,6 +897,88 @@ def model_store(spark, sf):
     return after.join(before, "student_id").select("student_id", (F.col("p") == F.col("before")).alias("is_same"))
 
 
+# Scores computed from the vectors in place of a model's, so that SQL can tell the figures.
+
+
+def _fixed_scores(spark, sf):
+    cells = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")) + 0.001)
+    rows = b.table(spark, sf, "embeddings").select("vec_id", cells.alias("s"))
+    total = F.col("s")[0] + F.col("s")[1] + F.col("s")[2]
+    return rows.select(
+        "vec_id",
+        (F.col("vec_id") % 3).cast("int").alias("label"),
+        (F.col("vec_id") % 5).cast("int").alias("fold"),
+        F.array(*[F.col("s")[k] / total for k in range(3)]).alias("p"),
+        (100 * F.col("s")[3]).alias("weighted"),
+        (100 * F.col("s")[0]).alias("prediction"),
+    )
+
+
+def _fixed_base_scores(spark, sf):
+    p = F.col("p")
+    return _fixed_scores(spark, sf).select("label", *[p[k].alias(name) for k, name in enumerate(BASE_SCORES)])
+
+
+@query
+def fixed_metrics(spark, sf):
+    rows = models.classifier_metrics(_fixed_scores(spark, sf), by=["fold"])
+    return rounded(rows, "accuracy", "loss")
+
+
+@query
+def fixed_fold_summary(spark, sf):
+    rows = models.mean_and_spread(models.classifier_metrics(_fixed_scores(spark, sf), by=["fold"]))
+    return rounded(rows, *rows.columns)
+
+
+@query
+def fixed_classes(spark, sf):
+    return _fixed_scores(spark, sf).select("vec_id", "label", models.likeliest_class(F.col("p")).alias("predicted"))
+
+
+@query
+def fixed_audit(spark, sf):
+    rows = models.score_audit(_fixed_scores(spark, sf), "vec_id")
+    return rounded(rows, *rows.columns[1:])
+
+
+@query
+def fixed_corr_scores(spark, sf):
+    return rounded(correlate.correlation_matrix(_fixed_base_scores(spark, sf), BASE_SCORES), "r")
+
+
+@query
+def fixed_base_metrics(spark, sf):
+    return rounded(models.base_metrics(_fixed_base_scores(spark, sf)), "accuracy", "loss")
+
+
+@query
+def fixed_errors(spark, sf):
+    return rounded(models.regression_metrics(_fixed_scores(spark, sf), by=["fold"]), "loss", "mae")
+
+
+@query
+def fixed_gaps(spark, sf):
+    """Accuracy and absolute error of five models that all score every row alike, in and out of their folds."""
+    rows = _fixed_scores(spark, sf).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    scored = rows.withColumn("held_out", F.col("fold") == F.col("model")).drop("fold").withColumnRenamed("model", "fold")
+    right = (models.likeliest_class(F.col("p")) == F.col("label")).cast("double")
+    error = F.abs(F.col("weighted") - F.col("prediction"))
+    parts = [
+        models.train_validation_gap(scored, measure).withColumn("measure", F.lit(name))
+        for name, measure in (("accuracy", right), ("mae", error))
+    ]
+    return rounded(parts[0].unionByName(parts[1]), "train", "validation", "gap")
+
+
+@query
+def regress_gap(spark, sf):
+    """Absolute error of boosted trees on the rows they were fitted on and on those held out."""
+    rows = _ordinal_rows(spark, sf)
+    scored = models.scored_by_every_fold(rows, "student_id", 5, models.boosted(features.ORDINAL_FEATURES).fit)
+    return models.train_validation_gap(scored, F.abs(F.col("weighted") - F.col("prediction")))
+
+
 @query
 def corr_scores(spark, sf):
     return correlate.correlation_matrix(models.stacked_features(_training_rows(spark, sf), "student_id"), BASE_SCORES)

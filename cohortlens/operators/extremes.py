@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scores import composite_score, ordinal_band, padded_square
 from cohortlens.operators.correlate import target_correlations
 from cohortlens.schema import ATTR_COLS, CONTRAST_PADDING, EXTREME_STUDENTS
-from cohortlens.sources.tables import write_once
 
 FACTORS = ["cfit_rank"] + ATTR_COLS
 SIDES = ["top", "bottom"]
@@ -30,16 +29,19 @@ def extremes(
     """The k best and the k worst composite scores, marked by ``side``.
 
     NULL scores are the lowest. With fewer than 2k students a student is on both sides. The
-    students are scored once, into a written table; both ends are taken from it.
+    students are read and scored once: each stands for both sides, every task keeps its own k
+    of each side, and only those are moved and ranked.
     """
     rows = with_composite(facts if cohort is None else facts.filter(F.col("cohort_id") == cohort))
-    scored = write_once(rows, "scored")
+    both = rows.withColumn("side", F.explode(F.array(*map(F.lit, SIDES))))
     score = F.col("weighted_score")
-    orders = {"top": score.desc_nulls_last(), "bottom": score.asc_nulls_first()}
-    sides = [
-        scored.orderBy(orders[side], tie).limit(k).withColumn("side", F.lit(side)) for side in SIDES
+    # Of the two orders, the one of the other side sees equal values only.
+    orders = [
+        F.when(F.col("side") == "top", score).desc_nulls_last(),
+        F.when(F.col("side") == "bottom", score).asc_nulls_first(),
     ]
-    return reduce(DataFrame.unionByName, sides)
+    place = F.row_number().over(Window.partitionBy("side").orderBy(*orders, tie))
+    return both.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
 def extremes_with_rank(facts: DataFrame, k: int = EXTREME_STUDENTS) -> DataFrame:

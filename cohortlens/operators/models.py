@@ -13,7 +13,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomFore
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scores import verdict
@@ -59,12 +59,17 @@ def class_probabilities(scored: DataFrame, name: str = "p") -> DataFrame:
     ).drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
+def likeliest_class(p: Column) -> Column:
+    """The class of the largest probability, the first of equal ones."""
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
 def classifier_metrics(
     scored: DataFrame, label: str = "label", by: Sequence[str] = (), probabilities: str = "p"
 ) -> DataFrame:
     """Accuracy and log loss of rows with class probabilities, in one pass."""
     p = F.col(probabilities)
-    best = F.array_position(p, F.array_max(p)) - 1
+    best = likeliest_class(p)
     own = F.greatest(F.get(p, F.col(label).cast("int")), F.lit(1e-15))
     return scored.groupBy(*by).agg(
         F.avg((best == F.col(label)).cast("double")).alias("accuracy"),
@@ -103,6 +108,34 @@ def held_out_scores(frame: DataFrame, row_id: str, folds: int, fit: Fit) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def scored_by_every_fold(frame: DataFrame, row_id: str, folds: int, fit: Fit) -> DataFrame:
+    """Every row scored by the models of all folds.
+
+    ``fold`` is that of the model, ``held_out`` tells whether it was fitted without the row.
+    """
+    marked = assign_folds(frame, row_id, folds)
+    fitted = fit_all([partial(fit, marked.filter(F.col("fold") != fold)) for fold in range(folds)])
+    own = marked.withColumnRenamed("fold", "own_fold")
+    parts = [
+        model.transform(own).withColumns({"fold": F.lit(fold), "held_out": F.col("own_fold") == fold})
+        for fold, model in enumerate(fitted)
+    ]
+    return reduce(DataFrame.unionByName, parts).drop("own_fold")
+
+
+def train_validation_gap(scored: DataFrame, measure: Column, by: Sequence[str] = ("fold",)) -> DataFrame:
+    """``train, validation, gap`` of each fold: the mean of ``measure`` over the rows its model
+    was fitted on and over those held out, and the first less the second, in one pass.
+
+    Rows whose measure is NULL do not count; a side without rows is NULL, and so is its gap.
+    """
+    held_out = F.col("held_out")
+    means = scored.groupBy(*by).agg(
+        F.avg(F.when(~held_out, measure)).alias("train"), F.avg(F.when(held_out, measure)).alias("validation")
+    )
+    return means.withColumn("gap", F.col("train") - F.col("validation"))
+
+
 def kfold_classifier(
     frame: DataFrame,
     row_id: str,
@@ -344,10 +377,13 @@ def kfold_regression(
 ) -> DataFrame:
     """``fold, loss, mae`` of boosted trees on the weight; the loss is the squared error."""
     scored = held_out_scores(frame, row_id, folds, boosted(features, "weighted", max_iter, seed).fit)
-    error = F.col("weighted") - F.col("prediction")
-    return scored.groupBy("fold").agg(
-        F.avg(error * error).alias("loss"), F.avg(F.abs(error)).alias("mae")
-    )
+    return regression_metrics(scored, by=["fold"])
+
+
+def regression_metrics(scored: DataFrame, weight: str = "weighted", by: Sequence[str] = ()) -> DataFrame:
+    """Mean squared and mean absolute error of predicted weights, in one pass."""
+    error = F.col(weight) - F.col("prediction")
+    return scored.groupBy(*by).agg(F.avg(error * error).alias("loss"), F.avg(F.abs(error)).alias("mae"))
 
 
 def regression_audit(scored: DataFrame, row_id: str, weight: str = "weighted") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortlens.operators.profile import KPI_MEASURES, MEASURES, SCORE_MEASURES, column_name
-from cohortlens.schema import ATTR_COLS, ATTRIBUTES, BAND_COLS, BANDS, COURSES, FEATURES, GLOBAL
+from cohortlens.schema import ATTR_COLS, ATTRIBUTES, BAND_COLS, BANDS, BASE_SCORES, COURSES, FEATURES, GLOBAL
 
 COHORT = 1998
 TARGETS = ["c_cert", "grade"]
@@ -20,7 +20,7 @@ def _attr(k: int, name: str) -> str:
     return f"{value} AS {name}"
 
 
-FACTS = f"""facts AS (
+FACTS = f"""facts AS MATERIALIZED (
   SELECT o_orderkey AS student_id, CAST(o_orderkey AS VARCHAR) AS student_key,
          CASE WHEN o_orderkey % 20 <> 0 THEN o_custkey END AS group_id,
          CAST(year(o_orderdate) AS INT) AS cohort_id,
@@ -35,6 +35,18 @@ FACTS = f"""facts AS (
              FROM lineitem GROUP BY l_orderkey) q ON q.l_orderkey = o_orderkey
   JOIN embeddings e ON e.vec_id = o_orderkey % (SELECT count(*) FROM embeddings))"""
 
+FIXED = """sizes AS (
+  SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) + 0.001e0 AS s1, abs(CAST(embedding[2] AS DOUBLE)) + 0.001e0 AS s2,
+         abs(CAST(embedding[3] AS DOUBLE)) + 0.001e0 AS s3, abs(CAST(embedding[4] AS DOUBLE)) + 0.001e0 AS s4
+  FROM embeddings),
+shares AS (
+  SELECT vec_id, CAST(vec_id % 3 AS INT) AS label, CAST(vec_id % 5 AS INT) AS fold, s1 / (s1 + s2 + s3) AS fail,
+         s2 / (s1 + s2 + s3) AS pass, s3 / (s1 + s2 + s3) AS success, 100 * s4 AS weighted, 100 * s1 AS prediction
+  FROM sizes),
+fixed AS (
+  SELECT *, CASE WHEN fail >= pass AND fail >= success THEN 0 WHEN pass >= success THEN 1 ELSE 2 END AS best,
+         CASE label WHEN 0 THEN fail WHEN 1 THEN pass ELSE success END AS own
+  FROM shares)"""
 GROUPS = "grp AS (SELECT c_custkey AS id, c_name AS name FROM customer)"
 COHORTS = (
     "cohorts AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS id, "
@@ -47,11 +59,11 @@ CANONICAL = f"""regexp_replace(regexp_replace(regexp_replace({SPELLED},
      '(?i)^Un.*ty of Cebu.*', 'UNIVERSITY OF CEBU'),
      '(?i)^Un.*ty of San Carlos.*', 'UNIVERSITY OF SAN CARLOS'),
      '(?i)^Un.*ty of San Jose.*', 'UNIVERSITY OF SAN JOSE RECOLETOS')"""
-PROFILE = f"""prof AS (
+PROFILE = f"""prof AS MATERIALIZED (
   SELECT f.student_id AS row_no, f.student_key AS id_number, {SPELLED} AS previous_school,
          {CANONICAL} AS canonical_school, f.course, f.cfit, f.cohort_id, {ATTRS}
   FROM facts f LEFT JOIN customer ON c_custkey = f.group_id)"""
-RESULTS = """res AS (
+RESULTS = """res AS MATERIALIZED (
   SELECT f.student_key AS id_number, f.c_cert,
          o_orderstatus = 'P' AS is_inc,
          CASE WHEN o_orderstatus <> 'P' AND f.student_id % 40 <> 7 THEN f.grade END AS grade
@@ -602,6 +614,38 @@ def _sql() -> dict[str, str]:
         f"SELECT student_id, 3 AS n_classes, 1.0e0 AS total FROM training WHERE {_bucket('student_id')} = 0"
     )
     q["scored_students"] = f + f"SELECT student_key AS id_number, TRUE AS has_verdicts FROM facts WHERE {_ATTR_FILLED}"
+    fixed = _with(FIXED)
+    right = "CAST(best = label AS DOUBLE)"
+    by_fold = f"SELECT fold, avg({right}) AS accuracy, avg(-ln(greatest(own, 1e-15))) AS loss FROM fixed GROUP BY fold"
+    q["fixed_metrics"] = fixed + f"SELECT fold, round(accuracy, 6) AS accuracy, round(loss, 6) AS loss FROM ({by_fold})"
+    q["fixed_fold_summary"] = fixed + (
+        "SELECT round(avg(accuracy), 6) AS mean_accuracy, round(avg(loss), 6) AS mean_loss, "
+        f"round(stddev_pop(accuracy), 6) AS std_accuracy, round(stddev_pop(loss), 6) AS std_loss FROM ({by_fold})"
+    )
+    q["fixed_classes"] = fixed + "SELECT vec_id, label, best AS predicted FROM fixed"
+    q["fixed_audit"] = fixed + (
+        "SELECT vec_id, round(fail, 6) AS confidence_to_fail, round(pass, 6) AS confidence_to_pass, "
+        "round(success, 6) AS confidence_to_excel, round(weighted / 100 * 5, 6) AS original FROM fixed"
+    )
+    q["fixed_corr_scores"] = fixed + (
+        "SELECT * FROM " + _pairs("fixed", [(x, y) for x in BASE_SCORES for y in BASE_SCORES], "x", "y")
+    )
+    q["fixed_base_metrics"] = fixed + " UNION ALL ".join(
+        f"SELECT '{name}' AS model, round(avg(CAST(({name} >= 0.5e0) = (label = {k}) AS DOUBLE)), 6) AS accuracy, "
+        f"round(avg(-ln(greatest(CASE WHEN label = {k} THEN {name} ELSE 1 - {name} END, 1e-15))), 6) AS loss FROM fixed"
+        for k, name in enumerate(BASE_SCORES)
+    )
+    q["fixed_errors"] = fixed + (
+        "SELECT fold, round(avg((weighted - prediction) * (weighted - prediction)), 6) AS loss, "
+        "round(avg(abs(weighted - prediction)), 6) AS mae FROM fixed GROUP BY fold"
+    )
+    q["fixed_gaps"] = fixed + " UNION ALL ".join(
+        f"SELECT model AS fold, '{name}' AS measure, round(train, 6) AS train, round(validation, 6) AS validation, "
+        f"round(train - validation, 6) AS gap FROM (SELECT model, avg({value}) FILTER (fold <> model) AS train, "
+        f"avg({value}) FILTER (fold = model) AS validation "
+        "FROM fixed CROSS JOIN (SELECT CAST(unnest(range(5)) AS INT) AS model) GROUP BY model)"
+        for name, value in (("accuracy", right), ("mae", "abs(weighted - prediction)"))
+    )
     q["model_store"] = t + "SELECT student_id, TRUE AS is_same FROM training"
     ordinal = (
         f" FROM facts WHERE cohort_id BETWEEN 1995 AND 2000 AND cfit IN ('L', 'BA', 'A', 'AA', 'H') AND {_ATTR_FILLED}"

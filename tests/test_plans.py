@@ -63,5 +63,15 @@ def test_each_table_is_scanned_once(spark, sf_dir, name, scans):
     assert plan.count("FileScan") <= scans
 
 
+def test_both_ends_come_from_one_scan(spark, sf_dir):
+    plan = plan_of(spark, sf_dir, "extremes_cohort")
+    # Every task keeps its own k of each side before rows are moved.
+    limit = plan.index("WindowGroupLimit", plan.index("WindowGroupLimit") + 1)
+    assert plan.index("Final") < plan.index("Exchange hashpartitioning(side") < limit
+    assert "explode" in plan[limit:]
+    # One scan for the facts; orders, line items.
+    assert plan.count("FileScan parquet") <= 3
+
+
 def test_top_k_does_not_sort_everything(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan_of(spark, sf_dir, "top10_groups")
