@@ -33,10 +33,10 @@ from cohortlens.sources.tables import write_once
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 # Buckets by the last bits of the second side's id; links and documents of a run; runs merged at once.
 BUCKETS = 32
-RUN_LINKS, RUN_DOCS = 4_000_000, 1 << 16
+RUN_LINKS, RUN_DOCS = 2_000_000, 1 << 16
 FAN_IN = 64
 KNOWN_UNITS = 400_000
-_ROWS = 512
+_ROWS, _UNITS_AT_ONCE = 256, 4096
 _PAIRS = 1 << 16
 _PAIR_BITS, _SLOT_BITS = 40, 16
 
@@ -142,7 +142,11 @@ class Aligner:
 
     def _learn(self, units: list[str]) -> None:
         spaced = [" " + u for u in units]
-        sides_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        sides_a = [
+            encoded.ids
+            for start in range(0, len(spaced), _UNITS_AT_ONCE)
+            for encoded in self.a.encode_batch_fast(spaced[start : start + _UNITS_AT_ONCE], add_special_tokens=False)
+        ]
         sides_b = self.b.encode(spaced, num_threads=1)
         sizes, pairs = [], []
         a_bytes, b_bytes, width = self.a_bytes, self.b_bytes, len(self.a_bytes)
@@ -237,10 +241,15 @@ _DOCUMENT = "run string, slot int, {id}, n_a long, n_b long, n_groups long, n_li
 _RUN = "bucket int, head array<binary>, body binary"
 
 
-def _runs(pairs: np.ndarray, slots: np.ndarray, width: int) -> Iterator[tuple[int, list[bytes], bytes]]:
-    """(bucket, head, body) of a run, for each bucket it has records of."""
+def _keyed(pairs: np.ndarray, slots: np.ndarray, width: int) -> np.ndarray:
+    """Bucket, pair and slot of each link in one number."""
     bucket = pairs // width % BUCKETS
-    keys = np.sort(bucket << _PAIR_BITS + _SLOT_BITS | pairs << _SLOT_BITS | slots)
+    return bucket << _PAIR_BITS + _SLOT_BITS | pairs << _SLOT_BITS | slots
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, list[bytes], bytes]]:
+    """(bucket, head, body) of a run, for each bucket it has records of, from its links in any order."""
+    keys.sort()
     firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     times = np.diff(firsts, append=len(keys))
     keys = keys[firsts]
@@ -265,7 +274,7 @@ def _spill(shared):
         aligner = Aligner(*shared.value)
         width, task = len(aligner.a_bytes), TaskContext.get().partitionId()
         number = docs = links = 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         kind = pa.int64()
 
         def rows(size: int, **columns) -> pa.RecordBatch:
@@ -275,8 +284,9 @@ def _spill(shared):
 
         def flushed() -> Iterator[pa.RecordBatch]:
             if links:
-                pairs, slots = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-                for bucket, head, body in _runs(pairs, slots, width):
+                keys = np.concatenate(held)
+                held.clear()
+                for bucket, head, body in _runs(keys):
                     yield rows(1, run=[f"{task}-{number}"], bucket=[bucket], head=[head], body=[body])
 
         for batch in batches:
@@ -294,7 +304,7 @@ def _spill(shared):
                 yield rows(
                     len(part), run=[f"{task}-{number}"] * len(part), slot=slots, id=part["id"], groups_sha256=digests, **figures
                 )
-                held.append((pairs, owner + docs))
+                held.append(_keyed(pairs, owner + docs, width))
                 docs, links = docs + len(part), links + len(pairs)
         yield from flushed()
 
