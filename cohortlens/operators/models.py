@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import (
+    MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +25,13 @@ from cohortlens.functions.scores import verdict
 from cohortlens.functions.text import percent_text
 from cohortlens.operators.balance import oversample
 from cohortlens.operators.features import assign_folds, binary_targets, log_target, one_hot, split_by_hash
+from cohortlens.runtime import move_whole, new_path, path_exists
 from cohortlens.schema import BANDS, BASE_SCORES, COURSES, FEATURES, GRADE_MAX, STACK_FEATURES
 from cohortlens.sources.tables import write_once
 
 Fit = Callable[[DataFrame], Model]
+# Statistics that the tasks of one pass over the rows may hold for the nodes of a forest.
+FOREST_MEMORY_MB = 512
 
 
 def assemble(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -261,16 +269,38 @@ def kfold_stack(
 ) -> DataFrame:
     """``fold, accuracy, loss`` of the whole stacked model.
 
-    For every fold the base models, their out-of-fold scores and the top model are fitted on
-    the other folds alone, so no label of the fold reaches a model that scores it.
+    No label of a fold reaches a model that scores it: its base models and its top model are
+    fitted on the other folds alone. The base scores that the top model of fold i learns from
+    are, for the rows of another fold j, those of base models without i and j. So the inner
+    folds are the other outer ones, and the models without i and j serve both: 45 base fits
+    for five folds. Of two folds each is halved, for there is no other one to leave out.
     """
-    marked = assign_folds(frame.filter(F.col("label").isNotNull()), row_id, folds)
-    parts = []
-    for fold in range(folds):
-        own = write_once(marked.filter(F.col("fold") != fold).drop("fold"), "train-fold")
-        model = fit_stack(own, row_id, folds, max_iter, hidden, salt="inner")
-        parts.append(model.transform(marked.filter(F.col("fold") == fold)))
-    return classifier_metrics(reduce(DataFrame.unionByName, parts), "label", ["fold"])
+    pieces = folds if folds > 2 else 2 * folds
+    marked = write_once(_mark(frame, row_id, pieces), "marked")
+    outer = [frozenset(range(fold, pieces, folds)) for fold in range(folds)]
+    inner = {fold: [p for p in range(pieces) if p not in outer[fold]] for fold in range(folds)}
+    left_out = list(dict.fromkeys([*outer, *(outer[fold] | {p} for fold in inner for p in inner[fold])]))
+    jobs = [job for out in left_out for job in _base_fits(_without(marked, out), max_iter, hidden)]
+    fitted = iter(fit_all(jobs))
+    base = {out: StackedModel({name: next(fitted) for name in BASE_SCORES}, None) for out in left_out}
+    top = fit_balanced(network(STACK_FEATURES, 3, hidden, max_iter), "label", STACK_FEATURES)
+
+    def fit_top(fold: int) -> Model:
+        parts = [base[outer[fold] | {p}].base_scores(marked.filter(F.col("fold") == p)) for p in inner[fold]]
+        return top(write_once(reduce(DataFrame.unionByName, parts), "stacked"))
+
+    tops = fit_all([partial(fit_top, fold) for fold in range(folds)])
+    scored = [
+        StackedModel(base[outer[fold]].base, tops[fold])
+        .transform(marked.filter(F.col("fold").isin(*outer[fold])))
+        .withColumn("fold", F.lit(fold))
+        for fold in range(folds)
+    ]
+    return classifier_metrics(reduce(DataFrame.unionByName, scored), "label", ["fold"])
+
+
+def _without(marked: DataFrame, out: Iterable[int]) -> DataFrame:
+    return marked.filter(~F.col("fold").isin(*out))
 
 
 def score_students(model: StackedModel, students: DataFrame, row_id: str = "IDNumber") -> DataFrame:
@@ -298,6 +328,75 @@ def score_students(model: StackedModel, students: DataFrame, row_id: str = "IDNu
     return rows.select(*out)
 
 
+@dataclass
+class Forest:
+    """A forest held as parts, each a forest of some of its trees on the column ``features``.
+
+    Its predictions are the means over the parts by their numbers of trees, which are those of
+    one forest of all the trees.
+    """
+
+    parts: list[Model]
+
+    @property
+    def trees(self) -> int:
+        return sum(part.getNumTrees for part in self.parts)
+
+    def _mean(self, df: DataFrame, column: str, read: Callable[[Column], Column]) -> tuple[DataFrame, Column]:
+        """The frame with a column of each part, and the mean of what is read from them, as an array."""
+        own = []
+        for number, part in enumerate(self.parts):
+            part, name = part.copy(), f"_part_{number}"
+            for output in ("predictionCol", "rawPredictionCol", "probabilityCol"):
+                if part.hasParam(output):
+                    part.set(part.getParam(output), name if output == column else "")
+            df = part.transform(df).withColumn(name, read(F.col(name)))
+            own.append(F.struct(F.lit(part.getNumTrees / self.trees).alias("w"), F.col(name).alias("x")))
+        zeros = F.transform(own[0]["x"], lambda x: F.lit(0.0))
+        mean = F.aggregate(F.array(*own), zeros, lambda m, o: F.zip_with(m, o["x"], lambda a, x: a + o["w"] * x))
+        return df, mean
+
+    def regress(self, df: DataFrame) -> DataFrame:
+        """Adds the number ``prediction``."""
+        scored, mean = self._mean(df, "predictionCol", F.array)
+        return scored.select(*df.columns, mean[0].alias("prediction"))
+
+    def classify(self, df: DataFrame) -> DataFrame:
+        """Adds the class probabilities ``p`` and the class ``predicted``, the first of equally likely ones."""
+        scored, mean = self._mean(df, "probabilityCol", vector_to_array)
+        return scored.select(*df.columns, mean.alias("p")).withColumn("predicted", likeliest_class(F.col("p")))
+
+
+def fit_forest(
+    estimator: Estimator, rows: DataFrame, trees: int, store: str | None = None, part_trees: int = 100, at_once: int = 4
+) -> Forest:
+    """The forest of ``estimator`` with so many trees, fitted in parts side by side.
+
+    A part is saved below ``store`` when it is ready, and a rerun with the same folder takes it
+    from there; it is moved to its name when it is whole, so a lost driver leaves no half of one.
+    The folder belongs to one training table and one setting of the estimator. Part k has the
+    seed of the estimator plus k; a forest of one part is Spark's own.
+    """
+    spark = rows.sparkSession
+    store = store or new_path(spark, "forest")
+    rows = write_once(rows.select("features", estimator.getLabelCol()), "forest-rows")
+    saved = {RandomForestClassifier: RandomForestClassificationModel, RandomForestRegressor: RandomForestRegressionModel}
+
+    def fit(number: int, size: int) -> Model:
+        path = f"{store}/part-{number}-of-{size}-trees"
+        if path_exists(spark, path):
+            return saved[type(estimator)].load(path)
+        settings = {estimator.numTrees: size, estimator.seed: estimator.getSeed() + number}
+        model = estimator.fit(rows, settings)
+        fresh = f"{store}/new-{uuid.uuid4().hex}"
+        model.save(fresh)
+        move_whole(spark, fresh, path)
+        return model
+
+    sizes = [min(part_trees, trees - start) for start in range(0, trees, part_trees)]
+    return Forest(fit_all([partial(fit, number, size) for number, size in enumerate(sizes)], at_once))
+
+
 def forest_regression(
     frame: DataFrame,
     row_id: str,
@@ -305,23 +404,25 @@ def forest_regression(
     trees: int = 1000,
     depth: int = 30,
     seed: int = 42,
-) -> tuple[PipelineModel, DataFrame]:
+    store: str | None = None,
+    part_trees: int = 100,
+) -> tuple[Forest, DataFrame]:
     """Forest on the logarithm of the weight, and the residuals of the test rows.
 
-    Residuals are on the original scale. Spark limits the depth of a tree to 30.
+    Residuals are on the original scale. Spark limits the depth of a tree to 30. See
+    ``fit_forest`` for ``store`` and ``part_trees``.
     """
-    marked = split_by_hash(log_target(frame.filter(F.col("weighted") > 0)), row_id)
-    forest = RandomForestRegressor(
+    marked = assemble(split_by_hash(log_target(frame.filter(F.col("weighted") > 0)), row_id), features)
+    estimator = RandomForestRegressor(
         labelCol="log_target",
-        numTrees=trees,
         maxDepth=depth,
         featureSubsetStrategy="sqrt",
         cacheNodeIds=True,
+        maxMemoryInMB=FOREST_MEMORY_MB,
         seed=seed,
     )
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), forest]
-    model = Pipeline(stages=stages).fit(marked.filter(~F.col("is_test")))
-    scored = model.transform(marked.filter("is_test"))
+    model = fit_forest(estimator, marked.filter(~F.col("is_test")), trees, store, part_trees)
+    scored = model.regress(marked.filter("is_test"))
     actual, predicted = F.exp("log_target"), F.exp("prediction")
     residuals = scored.select(
         row_id,
@@ -344,27 +445,27 @@ def forest_classification(
     per_split: int = 10,
     depth: int = 30,
     seed: int = 42,
-) -> tuple[PipelineModel, DataFrame]:
+    store: str | None = None,
+    part_trees: int = 100,
+) -> tuple[Forest, DataFrame]:
     """Forest on the label, and the test rows with their class probabilities.
 
-    Spark limits the depth of a tree to 30.
+    Spark limits the depth of a tree to 30. See ``fit_forest`` for ``store`` and ``part_trees``.
     """
     text = frame.filter(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("string"))
-    marked = split_by_hash(text, row_id)
-    stages = [
-        StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(
-            labelCol="label_index",
-            numTrees=trees,
-            maxDepth=depth,
-            featureSubsetStrategy=str(per_split),
-            cacheNodeIds=True,
-            seed=seed,
-        ),
-    ]
-    model = Pipeline(stages=stages).fit(marked.filter(~F.col("is_test")))
-    return model, class_probabilities(model.transform(marked.filter("is_test")))
+    marked = assemble(split_by_hash(text, row_id), features)
+    train = marked.filter(~F.col("is_test"))
+    index = StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc").fit(train)
+    estimator = RandomForestClassifier(
+        labelCol="label_index",
+        maxDepth=depth,
+        featureSubsetStrategy=str(per_split),
+        cacheNodeIds=True,
+        maxMemoryInMB=FOREST_MEMORY_MB,
+        seed=seed,
+    )
+    model = fit_forest(estimator, index.transform(train), trees, store, part_trees)
+    return model, model.classify(index.transform(marked.filter("is_test"))).drop("features")
 
 
 def kfold_regression(

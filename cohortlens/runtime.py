@@ -47,6 +47,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path, files = _files(spark, name)
+    return files.exists(path)
+
+
+def move_whole(spark: SparkSession, fresh: str, name: str) -> None:
+    """Give a folder that is written to its end its name; where another job was first, its folder stays."""
+    path, files = _files(spark, fresh)
+    if not path_exists(spark, name) and files.rename(path, _files(spark, name)[0]):
+        return
+    if not path_exists(spark, name):
+        raise OSError(f"could not move {fresh} to {name}")
+
+
 # Paths written inside each open scope of ``scratch``.
 _scopes: list[list[str]] = []
 
@@ -69,5 +88,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.remove(scope)
         for name in scope:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = _files(spark, name)
+            files.delete(path, True)

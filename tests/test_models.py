@@ -141,7 +141,7 @@ def test_forest_classification_grows_deep_trees(spark):
         "id", *[b.alias(n) for b, n in zip(bits, names)], (F.bit_count("id") % 2).alias("label")
     )
     model, _ = models.forest_classification(marks, "id", names, trees=2)
-    assert max(tree.depth for tree in model.stages[-1].trees) > 10
+    assert max(tree.depth for tree in model.parts[0].trees) > 10
 
 
 def test_audit_restores_the_grade(spark):
@@ -168,3 +168,78 @@ def test_assemble_order(spark, rows):
     assert list(row.features) == [row[f] for f in FEATURES]
     again = rows.select(array_to_vector(F.array(*FEATURES)).alias("v")).first()
     assert len(again.v) == 29
+
+
+def marks_frame(spark, size=400):
+    mark = (F.xxhash64("id") % 7).cast("double")
+    return spark.range(size).select(
+        F.col("id"), (F.col("id") % 20).cast("double").alias("x"), mark.alias("y"),
+        F.when(mark > 0, "b").otherwise("a").alias("label"), (F.col("id") % 20 + 1).cast("double").alias("weighted"),
+    )
+
+
+def test_forest_in_parts_is_the_mean_of_its_trees(spark):
+    frame = marks_frame(spark)
+    whole, one = models.forest_regression(frame, "id", ["x", "y"], trees=5, depth=4)
+    parts, several = models.forest_regression(frame, "id", ["x", "y"], trees=5, depth=4, part_trees=2)
+    assert [p.getNumTrees for p in parts.parts] == [2, 2, 1] and parts.trees == whole.trees == 5
+    assert len(whole.parts) == 1
+    rows = models.assemble(frame, ["x", "y"])
+    want = {r.id: r.prediction for r in whole.parts[0].transform(rows).collect()}
+    assert {r.id: r.prediction for r in whole.regress(rows).collect()} == pytest.approx(want)
+    trees = [t for p in parts.parts for t in p.trees]
+    for row in parts.regress(rows).limit(40).collect():
+        assert row.prediction == pytest.approx(sum(t.predict(row.features) for t in trees) / 5)
+    assert one.count() == several.count() > 0
+    # The weight is a function of x, so a forest that works is near it.
+    assert models.mean_absolute_error(several).first().mae < 4
+
+
+def test_forest_classes_in_parts(spark):
+    frame = marks_frame(spark).withColumn("label", F.when(F.col("x") > 9, "b").otherwise("a"))
+    parts, scored = models.forest_classification(frame, "id", ["x", "y"], trees=5, depth=3, per_split=2, part_trees=2)
+    rows = scored.collect()
+    assert len(rows) > 40 and parts.trees == 5
+    assert all(sum(r.p) == pytest.approx(1) and r.predicted == (r.label == "b") for r in rows)
+    votes = [t for p in parts.parts for t in p.trees]
+    by_id = {r.id: r.features for r in models.assemble(frame, ["x", "y"]).collect()}
+    for r in rows[:20]:
+        raw = [t.predictProbability(by_id[r.id]) for t in votes]
+        assert list(r.p) == pytest.approx([sum(v[c] for v in raw) / 5 for c in (0, 1)])
+
+
+def test_forest_takes_saved_parts_again(spark, monkeypatch):
+    """A run that was lost after some parts goes on with the others and gives the same forest."""
+    frame, store = marks_frame(spark), new_path(spark, "forest")
+    _, first = models.forest_regression(frame, "id", ["x", "y"], trees=4, depth=3, store=store, part_trees=2)
+    fitted = []
+    fit = models.RandomForestRegressor.fit
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", lambda self, *a: fitted.append(1) or fit(self, *a))
+    _, again = models.forest_regression(frame, "id", ["x", "y"], trees=6, depth=3, store=store, part_trees=2)
+    assert len(fitted) == 1 and again.count() == first.count()
+    _, same = models.forest_regression(frame, "id", ["x", "y"], trees=4, depth=3, store=store, part_trees=2)
+    assert len(fitted) == 1
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, first.collect()))
+
+
+def test_no_label_of_a_fold_reaches_a_model_that_scores_it(spark, rows, monkeypatch):
+    """Every fit of a k-fold run is noted with the ids it has seen."""
+    seen = []
+
+    def balanced(estimator, label, features):
+        def fit(frame):
+            ids = {r.student_id for r in frame.select("student_id").collect()}
+            model = estimator.fit(frame)
+            seen.append((label, ids))
+            return model
+        return fit
+
+    monkeypatch.setattr(models, "fit_balanced", balanced)
+    folds = models.kfold_stack(rows, "student_id", folds=3, max_iter=3, hidden=(3,)).collect()
+    assert sorted(r.fold for r in folds) == [0, 1, 2]
+    marked = {r.student_id: r.fold for r in features.assign_folds(rows, "student_id", 3).collect()}
+    tops = [{marked[i] for i in ids} for label, ids in seen if label == "label"]
+    bases = [{marked[i] for i in ids} for label, ids in seen if label != "label"]
+    assert sorted(map(sorted, tops)) == [[0, 1], [0, 2], [1, 2]]
+    # Two folds are seen by the models that score the third, one by those the top models learn from.
+    assert sorted(map(sorted, bases)) == sorted([[0]] * 3 + [[1]] * 3 + [[2]] * 3 + [[0, 1]] * 3 + [[0, 2]] * 3 + [[1, 2]] * 3)
