@@ -67,29 +67,64 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def linked(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[int, str, list[tuple[int, int]]]:
-    """Groups between common ends, as a number and as text, and the overlapping pairs of ids.
-
-    ``a_size`` and ``b_size`` are the numbers of bytes of the tokens, with equal sums.
+@dataclass
+class Tokens:
+    """Tokens of many units behind each other: their ids, numbers of bytes and the units they are of."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    unit: np.ndarray
+
+    def of(self, units: np.ndarray) -> Tokens:
+        """The tokens of the units that a mask names."""
+        own = units[self.unit]
+        return Tokens(self.ids[own], self.sizes[own], self.unit[own])
+
+
+def spelled(side: list[list[int]], told: list[bytes], sizes: np.ndarray, texts: list[bytes]) -> tuple[Tokens, np.ndarray]:
+    """The tokens of the units' texts, and whether their bytes are those of the text."""
+    counts = np.fromiter(map(len, side), np.int64, len(side))
+    ids = np.fromiter(chain.from_iterable(side), np.int64, int(counts.sum()))
+    tokens = Tokens(ids, sizes[ids], np.repeat(np.arange(len(side)), counts))
+    lengths = np.bincount(tokens.unit, tokens.sizes, len(side)).astype(np.int64)
+    right = lengths == np.fromiter(map(len, texts), np.int64, len(texts))
+    said = b"".join(map(told.__getitem__, ids.tolist()))
+    if not right.all() or said != b"".join(texts):
+        ends = np.cumsum(lengths)
+        parts = zip((ends - lengths).tolist(), ends.tolist(), texts)
+        right &= np.fromiter((said[start:end] == text for start, end, text in parts), bool, len(texts))
+    return tokens, right
+
+
+def linked(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Overlaps as places in ``a`` and ``b``, where a group ends with one, and the groups of all tokens.
+
+    The units have equal numbers of bytes on both sides, so all are one stretch of bytes: every
+    stretch between two ends of tokens is the overlap of one token of each side.
     """
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = a_size[0], b_size[0]
-    while True:
-        links.append((a[i], b[j]))
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return len(groups), ";".join(groups), links
-            first_a, first_b = i, j
-            end_a, end_b = end_a + a_size[i], end_b + b_size[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += a_size[i]
-        else:
-            j += 1
-            end_b += b_size[j]
+    a_ends, b_ends = np.cumsum(a.sizes), np.cumsum(b.sizes)
+    ends = np.union1d(a_ends, b_ends)
+    i, j = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    closed = (a_ends[i] == ends) & (b_ends[j] == ends)
+    group = np.cumsum(closed) - closed
+    return i, j, closed, group[np.searchsorted(ends, a_ends)], group[np.searchsorted(ends, b_ends)]
+
+
+# What stands behind a token: another of its side and group, the other side, the next group, the end.
+_SIGNS = (",", "|", ";", "\n")
+
+
+def shown_groups(a: Tokens, b: Tokens, a_group: np.ndarray, b_group: np.ndarray, words: list[str]) -> list[str]:
+    """The groups of every unit as text; ``words`` are the ids with each of the signs behind them."""
+    if not len(a.ids):
+        return []
+    side = np.concatenate([2 * a_group, 2 * b_group + 1])
+    order = np.argsort(side, kind="stable")
+    side, unit, ids = side[order], np.concatenate([a.unit, b.unit])[order], np.concatenate([a.ids, b.ids])[order]
+    sign = np.full(len(ids), 3)
+    sign[:-1] = np.where(side[1:] == side[:-1], 0, np.where(side[:-1] % 2 == 0, 1, np.where(unit[1:] == unit[:-1], 2, 3)))
+    told = map(words.__getitem__, (sign * (len(words) // len(_SIGNS)) + ids).tolist())
+    return "".join(told).split("\n")[:-1]
 
 
 class Aligner:
@@ -124,6 +159,9 @@ class Aligner:
         ]
         if len(self.a_bytes) * len(self.b_bytes) >> _PAIR_BITS:
             raise ValueError("too many pairs of ids")
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
+        largest = max(len(self.a_bytes), len(self.b_bytes))
+        self.words = [f"{number}{sign}" for sign in _SIGNS for number in range(largest)]
         self._forget()
 
     def _forget(self) -> None:
@@ -148,22 +186,21 @@ class Aligner:
             for encoded in self.a.encode_batch_fast(spaced[start : start + _UNITS_AT_ONCE], add_special_tokens=False)
         ]
         sides_b = self.b.encode(spaced, num_threads=1)
-        sizes, pairs = [], []
-        a_bytes, b_bytes, width = self.a_bytes, self.b_bytes, len(self.a_bytes)
-        for unit, a, b in zip(spaced, sides_a, sides_b):
-            a_told, b_told, text = [a_bytes[k] for k in a], [b_bytes[k] for k in b], unit.encode()
-            if b"".join(a_told) == text == b"".join(b_told):
-                count, shown, links = linked(a, b, [len(t) for t in a_told], [len(t) for t in b_told])
-                pairs += [k * width + m for m, k in links]
-                sizes.append((len(a), len(b), count, len(links), 1))
-                self.groups.append(shown)
-            else:
-                sizes.append((0, 0, 0, 0, 0))
-                self.groups.append("")
+        texts = [unit.encode() for unit in spaced]
+        a, a_right = spelled(sides_a, self.a_bytes, self.a_sizes, texts)
+        b, b_right = spelled(sides_b, self.b_bytes, self.b_sizes, texts)
+        right = a_right & b_right
+        a, b = a.of(right), b.of(right)
+        i, j, closed, a_group, b_group = linked(a, b)
+        shown = iter(shown_groups(a, b, a_group, b_group, self.words))
+        self.groups += [next(shown) if good else "" for good in right.tolist()]
+        figures = [a.unit, b.unit, a.unit[i[closed]], a.unit[i]]
+        sizes = np.stack([*(np.bincount(of, minlength=len(units)) for of in figures), right.astype(np.int64)], axis=1)
+        pairs = b.ids[j] * len(self.a_bytes) + a.ids[i]
         for unit in units:
             self.known[unit] = len(self.known)
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 5)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pairs = np.concatenate([self.pairs, pairs])
         self.starts = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
