@@ -17,6 +17,7 @@ from cohortlens.functions import text as tx
 from cohortlens.operators import (
     balance,
     correlate,
+    early_stopping,
     extremes,
     features,
     filters,
@@ -806,6 +807,25 @@ def mlp_classify(spark, sf):
     return models.kfold_classifier(_ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES, balanced=False)
 
 
+@query
+def held_out_rows(spark, sf):
+    """The rows that tell a network when to stop."""
+    marked = early_stopping.mark_held_out(_training(spark, sf), "student_id")
+    return marked.select("student_id", "is_held_out")
+
+
+@query
+def early_stop_curve(spark, sf):
+    """Losses and accuracies of every round of a network that stops by itself."""
+    rows = _ordinal_rows(spark, sf)
+    return early_stopping.fit_until_flat(rows, "student_id", features.ORDINAL_FEATURES)[1]
+
+
+@query
+def early_stop_folds(spark, sf):
+    return early_stopping.kfold_until_flat(_ordinal_rows(spark, sf), "student_id", features.ORDINAL_FEATURES)
+
+
 @query
 def fold_summary(spark, sf):
     """Mean and spread of the folds' accuracy and loss."""

@@ -602,6 +602,8 @@ def _sql() -> dict[str, str]:
         + " FROM training"
     )
     q["split_hash"] = t + f"SELECT student_id, {_bucket('student_id')} = 0 AS is_test FROM training"
+    held = _bucket("'held-out-' || student_id")
+    q["held_out_rows"] = t + f"SELECT student_id, {held} = 0 AS is_held_out FROM training"
     q["fold_assign"] = t + f"SELECT student_id, {_bucket('student_id')} AS fold FROM training"
     q["vector_cells"] = t + " UNION ALL ".join(
         f'SELECT student_id, {k} AS position, "{name}" AS value FROM training' for k, name in enumerate(FEATURES)
