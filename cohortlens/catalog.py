@@ -30,7 +30,7 @@ from cohortlens.operators import (
 from cohortlens.plans import load as load_plan
 from cohortlens.runtime import new_path
 from cohortlens.schema import ASSESSMENTS, ATTR_COLS, BANDS, BASE_SCORES, COURSES, FEATURES, STACK_FEATURES
-from cohortlens.sources import sheets, tables
+from cohortlens.sources import commits, sheets, tables
 from cohortlens.streaming import load as stream_load
 
 COHORT = 1998
@@ -701,6 +701,18 @@ def load_twice(spark, sf):
     return _loaded(store)
 
 
+@query
+def load_committed(spark, sf):
+    """The load by commits: after a job that ended before its commit, and once more afterwards."""
+    store = commits.CommittedStore(spark, new_path(spark, "store"))
+    sheets_of_courses = _course_sheets(spark, sf)
+    staged = [tables.write_once(load_plan.stage(c), "staged") for c in sheets_of_courses]
+    load_plan.load_batches(store.attempt(), staged, 1999)
+    for _ in range(2):
+        load_plan.load_committed(store, sheets_of_courses, 2000)
+    return _loaded(store)
+
+
 @query
 def load_arriving(spark, sf):
     """The load as a stream of staged files."""

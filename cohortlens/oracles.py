@@ -579,7 +579,7 @@ def _sql() -> dict[str, str]:
     q["conform_columns"] = f + (
         f"SELECT student_id AS id, student_id, cfit, {empty}, CAST(NULL AS INT) AS c_cert, round(grade, 6) AS grade FROM facts"
     )
-    for name in ("load_twice", "load_arriving"):
+    for name in ("load_twice", "load_committed", "load_arriving"):
         q[name] = _with(FACTS, PROFILE, RESULTS, CLEAN) + (
             "SELECT id_number AS student_key, course, canonical_school AS group_name, '2000' AS cohort_name, cfit, "
             f"{ATTRS}, c.c_cert, round(c.grade, 6) AS grade FROM prof JOIN clean c USING (id_number)"

@@ -12,6 +12,7 @@ from cohortlens.operators.joins import merge_on_id
 from cohortlens.operators.upsert import check_tag, new_assessments, new_groups, new_students
 from cohortlens.runtime import scratch
 from cohortlens.sources.sheets import clean_profile, clean_results
+from cohortlens.sources.commits import CommittedStore, batch_digest
 from cohortlens.sources.tables import TableStore, write_once
 
 
@@ -61,3 +62,28 @@ def load(store: TableStore, courses: Sequence[CourseSheets], tag: int | str) ->
     checked = check_tag(tag)
     with scratch(store.spark):
         load_batches(store, [write_once(stage(c), "staged") for c in courses], checked)
+
+
+def commit_batches(store: CommittedStore, batches: Sequence[DataFrame], tag: int, attempts: int = 10) -> bool:
+    """Add what is new in all three tables at once; False where these batches are listed already.
+
+    Ids are counted from the version that was read, and only one job can follow a version: a job
+    that comes second reads again and gives its rows new ids. Rows of a job that ended before
+    its commit are in no list and are not read.
+    """
+    digest = batch_digest(list(batches), tag)
+    for _ in range(attempts):
+        attempt = store.attempt()
+        if store.holds(digest):
+            return False
+        load_batches(attempt, batches, tag)
+        if attempt.commit(digest):
+            return True
+    raise RuntimeError(f"other jobs were first {attempts} times")
+
+
+def load_committed(store: CommittedStore, courses: Sequence[CourseSheets], tag: int | str) -> bool:
+    """As ``load``, safe beside other jobs; tells whether this call stored the sheets."""
+    checked = check_tag(tag)
+    with scratch(store.spark):
+        return commit_batches(store, [write_once(stage(c), "staged") for c in courses], checked)

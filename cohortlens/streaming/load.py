@@ -7,8 +7,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
 from cohortlens.operators.upsert import check_tag
-from cohortlens.plans.load import load_batches
+from cohortlens.plans.load import commit_batches, load_batches
 from cohortlens.runtime import scratch
+from cohortlens.sources.commits import CommittedStore
 from cohortlens.sources.tables import TableStore, write_once
 
 
@@ -23,10 +24,11 @@ def load_stream(staged: DataFrame, store: TableStore, tag: int | str, progress:
     A batch that is replayed after a failure adds nothing twice, as in the batch load.
     """
     checked = check_tag(tag)
+    store_batches = commit_batches if isinstance(store, CommittedStore) else load_batches
 
     def add(batch: DataFrame, _: int) -> None:
         with scratch(store.spark):
-            load_batches(store, [write_once(batch, "arrived")], checked)
+            store_batches(store, [write_once(batch, "arrived")], checked)
 
     return (
         staged.writeStream.foreachBatch(add)
