@@ -5,11 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators.balance import oversample
 from cohortlens.operators.features import bucket_of
 from cohortlens.operators.models import class_probabilities, classifier_metrics, held_out_scores
+from cohortlens.operators.networks import loss_and_accuracy, mean_loss, minimise, network_model, packed, start_weights
 from cohortlens.runtime import move_whole, new_path, path_exists
 from cohortlens.schema import FEATURES
 from cohortlens.sources.tables import write_once
@@ -98,38 +97,37 @@ def fit_until_flat(
         _in_store(spark, f"{store}/scale", scaled.save)
     scale = StandardScalerModel.load(f"{store}/scale")
     rows = write_once(scale.transform(rows).select("features", label, "is_held_out"), "scaled")
-    learned = rows.filter("NOT is_held_out")
-
-    def measured(number: int, net: MultilayerPerceptronClassificationModel) -> DataFrame:
-        scored = class_probabilities(net.transform(rows))
-        sides = classifier_metrics(scored, label, ["is_held_out"]).collect()
-        train, held = sorted(sides, key=lambda r: r.is_held_out)
-        done = net.summary().totalIterations
-        values = (number, done, train.loss, train.accuracy, held.loss, held.accuracy)
-        return spark.createDataFrame([values], CURVE).coalesce(1)
-
-    def save_round(number: int, weights) -> None:
-        net = MultilayerPerceptronClassifier(
-            layers=[len(features), *hidden, classes], labelCol=label, maxIter=step, seed=seed
-        )
-        if weights is not None:
-            net.setInitialWeights(weights)
-        fitted = net.fit(learned)
+    layers = [len(features), *hidden, classes]
+    learned = packed(rows.filter("NOT is_held_out"), label, classes, "float64")
+    held = packed(rows.filter("is_held_out"), label, classes, "float64")
+    loss = mean_loss(learned, layers)
+
+    def measured(number: int, weights: np.ndarray, done: int) -> DataFrame:
+        sides = [loss_and_accuracy(side, layers, weights) for side in (learned, held)]
+        return spark.createDataFrame([(number, done, *sides[0], *sides[1])], CURVE).coalesce(1)
+
+    def save_round(number: int, weights: np.ndarray) -> None:
+        weights, done = minimise(loss, weights, step)
+        fitted = network_model(spark, weights, layers, label)
 
         def write(path: str) -> None:
             fitted.save(f"{path}/net")
-            measured(number, fitted).write.parquet(f"{path}/curve")
+            measured(number, weights, done).write.parquet(f"{path}/curve")
 
         _in_store(spark, f"{store}/round-{number}", write)
 
     curve: list[Row] = []
-    weights = None
-    while len(curve) < rounds and not is_flat(curve, patience):
-        path = f"{store}/round-{len(curve)}"
-        if not path_exists(spark, path):
-            save_round(len(curve), weights)
-        weights = MultilayerPerceptronClassificationModel.load(f"{path}/net").weights
-        curve.append(spark.read.schema(CURVE).parquet(f"{path}/curve").first())
+    weights = start_weights(layers, seed)
+    try:
+        while len(curve) < rounds and not is_flat(curve, patience):
+            path = f"{store}/round-{len(curve)}"
+            if not path_exists(spark, path):
+                save_round(len(curve), weights)
+            weights = MultilayerPerceptronClassificationModel.load(f"{path}/net").weights.toArray()
+            curve.append(spark.read.schema(CURVE).parquet(f"{path}/curve").first())
+    finally:
+        learned.unpersist()
+        held.unpersist()
 
     best = best_round(curve)
     net = MultilayerPerceptronClassificationModel.load(f"{store}/round-{best}/net")

@@ -18,7 +18,7 @@ from cohortlens.operators.models import (
 )
 from cohortlens.runtime import scratch
 from cohortlens.schema import LABEL_CUTS
-from cohortlens.sources.tables import log_metrics, write_once
+from cohortlens.sources.tables import log_metrics, write_spread
 
 
 def train(
@@ -37,7 +37,7 @@ def train(
     """
     spark = facts.sparkSession
     with scratch(spark):
-        frame = write_once(training_frame(facts, cohorts, cuts), "training")
+        frame = write_spread(training_frame(facts, cohorts, cuts), "training")
         folded = kfold_stack(frame, "student_id", folds, max_iter, hidden)
         scores = spark.createDataFrame(folded.collect(), folded.schema)  # one row per fold
         log_metrics(spark, metrics_path, uuid.uuid4().hex, mean_and_spread(scores).first().asDict())
