@@ -924,9 +924,9 @@ def model_store(spark, sf):
     path = new_path(spark, "model")
     model = models.network(FEATURES, 3).fit(rows)
     model.write().save(path)
-    before = models.class_probabilities(model.transform(rows)).select("student_id", F.col("p").alias("before"))
-    after = models.class_probabilities(PipelineModel.load(path).transform(rows)).select("student_id", "p")
-    return after.join(before, "student_id").select("student_id", (F.col("p") == F.col("before")).alias("is_same"))
+    before = models.class_probabilities(model.transform(rows)).withColumnRenamed("p", "before").drop("predicted")
+    after = models.class_probabilities(PipelineModel.load(path).transform(before))
+    return after.select("student_id", (F.col("p") == F.col("before")).alias("is_same"))
 
 
 # Scores computed from the vectors in place of a model's, so that SQL can tell the figures.

@@ -48,3 +48,11 @@ def test_training_rows_keep_all_cores_busy(spark, sf_dir):
     """They come from one small file, which every pass of a fit would read in one task."""
     parts = catalog._ordinal_rows(spark, sf_dir).rdd.getNumPartitions()
     assert parts >= spark.sparkContext.defaultParallelism
+
+
+def test_scores_before_and_after_saving_stand_in_one_row(spark, sf_dir):
+    """A join of the two would send the scores of all rows through the driver."""
+    compared = catalog.model_store(spark, sf_dir)
+    plan = compared._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert compared.filter("is_same").count() == compared.count() > 0
