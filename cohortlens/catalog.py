@@ -687,6 +687,8 @@ def _loaded(store: tables.TableStore) -> DataFrame:
 def _course_sheets(spark, sf):
     rows, results = b.profile_sheet(spark, sf), b.results_sheet(spark, sf)
     trimmed = rows.withColumn("Previous School", tx.strip(F.col("Previous School")))
+    # Sheets are files: stored once, and read by every load.
+    trimmed, results = tables.write_once(trimmed, "profile-sheet"), tables.write_once(results, "results-sheet")
     return [
         load_plan.CourseSheets(trimmed.filter(F.col("Course") == course), results) for course in COURSES
     ]
@@ -696,8 +698,9 @@ def _course_sheets(spark, sf):
 def load_twice(spark, sf):
     """The whole load, run twice under two tags: the second run adds nothing."""
     store = tables.TableStore(spark, new_path(spark, "store"))
+    sheets_of_courses = _course_sheets(spark, sf)
     for tag in (2000, 3000):
-        load_plan.load(store, _course_sheets(spark, sf), tag)
+        load_plan.load(store, sheets_of_courses, tag)
     return _loaded(store)
 
 

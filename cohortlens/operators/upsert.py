@@ -5,13 +5,14 @@ Every function returns the rows to add; writing them is left to the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.operators.joins import absent_from, lookup_group_id, resolve_students
-from cohortlens.operators.numbering import assign_ids
+from cohortlens.operators.numbering import assign_ids, running_start
 from cohortlens.schema import ASSESSMENTS, COHORT_TAG_RANGE, GROUPS, STUDENTS
+from cohortlens.sources.tables import write_once
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -116,10 +117,25 @@ def new_assessments(
     rows = _assessment_rows(batch)
     if dedupe:
         rows = first_of_each(rows, "student_key", [row_id])
-    fresh = absent_from(rows, assessed_keys(students, assessments), "student_key")
-    known, _ = resolve_students(fresh, students, "student_key", row_id)
-    numbered = assign_ids(known.drop("id"), row_id, assessments)
-    return conform(numbered, ASSESSMENTS)
+    keys = students.select("student_key", F.col("id").alias("student_id"))
+    open_keys = absent_from(keys, assessed_keys(students, assessments), "student_key")
+    return conform(_numbered(rows.drop("student_id", "id"), open_keys, row_id, assessments), ASSESSMENTS)
+
+
+def _numbered(rows: DataFrame, open_keys: DataFrame, row_id: str, existing: DataFrame) -> DataFrame:
+    """The rows of the open students with ``student_id`` and the next free ids, in the order of ``md5(row_id)``.
+
+    Who is known, what is stored and the ids are settled on the keys alone, with the number of rows
+    of each; the wide rows move once, to meet them. Rows of one key are ordered by all their columns.
+    """
+    keys = ["student_key", row_id]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    known = write_once(counts.join(open_keys, "student_key"), "new-keys")
+    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("m"))
+    started = running_start(known, row_id, F.col("_rows"), name="_start").drop("_rows")
+    inside = Window.partitionBy(*keys, "student_id").orderBy(F.xxhash64(*rows.columns))
+    numbered = rows.join(started, keys).withColumn("_place", F.row_number().over(inside))
+    return numbered.withColumn("id", highest.scalar() + F.col("_start") + F.col("_place")).drop("_start", "_place")
 
 
 def rejected_assessments(batch: DataFrame, students: DataFrame, row_id: str = "row_no") -> DataFrame:

@@ -3,10 +3,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import upsert
+from cohortlens.operators import numbering, upsert
 from cohortlens.plans.load import CourseSheets, load, stage
 from cohortlens.runtime import new_path, shared_dir
-from cohortlens.schema import ASSESSMENTS, ATTR_COLS, ATTRIBUTES
+from cohortlens.schema import ASSESSMENTS, ATTR_COLS, ATTRIBUTES, STUDENTS
 from cohortlens.sources import sheets, tables
 
 SCORES = ", ".join(f"{a} string" for a in ATTR_COLS)
@@ -245,3 +245,24 @@ def test_files_with_other_headings_are_refused(spark):
     tables.write_csv(one.select("b", "a"), f"{path}/k=2")
     with pytest.raises(Exception, match="header does not conform"):
         sheets.read_csv(spark, f"{path}/*").collect()
+
+
+def test_wide_rows_move_once_to_get_their_ids(spark):
+    """Rows that repeat id and row number all stay, with ids of their own; only keys are written on the way."""
+    students = spark.createDataFrame([(7, "1", None, None, "BSCS", 0), (8, "2", None, None, "BSIT", 0)], STUDENTS)
+    rows = [(1, "1", "H"), (1, "1", "H"), (1, "1", "A"), (2, "2", "L"), (3, "9", "L")]
+    batch = spark.createDataFrame(rows, "row_no long, IDNumber string, CFIT string")
+    stored = spark.createDataFrame([(40, 99, "H")], "id long, student_id long, cfit string")
+    stored = upsert.conform(stored, ASSESSMENTS)
+    written = []
+    with pytest.MonkeyPatch.context() as watched:
+        for module in (upsert, numbering):
+            keep = module.write_once
+            watched.setattr(module, "write_once", lambda df, name, keep=keep: written.append(df.columns) or keep(df, name))
+        added = upsert.new_assessments(batch, students, stored)
+        one = sorted((r.id, r.student_id, r.cfit) for r in added.collect())
+        two = upsert.new_assessments(batch.repartition(5), students, stored).collect()
+    assert [r[0] for r in one] == [41, 42, 43, 44]
+    assert sorted(r[1:] for r in one) == [(7, "A"), (7, "H"), (7, "H"), (8, "L")]
+    assert sorted((r.id, r.student_id, r.cfit) for r in two) == one
+    assert written and all("CFIT" not in columns and "cfit" not in columns for columns in written)
