@@ -20,7 +20,8 @@ MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
-THREADS = 2
+# Tasks keep the cores busy by themselves: more threads in a task cost more CPU seconds for the same rows.
+THREADS = 1
 KNOWN_UNITS = 600_000
 _ROWS = 256
 
@@ -244,6 +245,18 @@ class Codec:
         return self.tokenizer.decode_batch([ids.tolist() for ids in lists], skip_special_tokens=False)
 
 
+# The codec of a worker process, by model and threads: the tasks of a worker learn a unit once among them.
+_codecs: dict[tuple[bytes, int], Codec] = {}
+
+
+def shared_codec(data: bytes, threads: int = THREADS) -> Codec:
+    """The codec this process keeps for a model; that of another model takes its place."""
+    if (data, threads) not in _codecs:
+        _codecs.clear()
+        _codecs[data, threads] = Codec(data, threads)
+    return _codecs[data, threads]
+
+
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -263,7 +276,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", threads: int =
 
     @F.arrow_udf("ids array<int>, parity boolean, restored boolean")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(shared.value, threads)
+        codec = shared_codec(shared.value, threads)
         kind = pa.struct([("ids", pa.list_(pa.int32())), ("parity", pa.bool_()), ("restored", pa.bool_())])
         for batch in batches:
             blocks, same, back = [], [], []

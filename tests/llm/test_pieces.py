@@ -118,6 +118,20 @@ def test_memory_of_units_is_bounded(model, monkeypatch):
         assert len(codec.known) <= 50 + 400
 
 
+def test_tasks_of_a_worker_learn_a_unit_once(model, monkeypatch):
+    """Two tasks that follow each other in one process share the units; another model has a codec of its own."""
+    learnt = []
+    learn = pieces.Codec._learn
+    monkeypatch.setattr(pieces.Codec, "_learn", lambda self, units: (learnt.extend(units), learn(self, units))[1])
+    first = list(pieces.shared_codec(model).encode(["some words", "more words"]))
+    again = list(pieces.shared_codec(model).encode(["more words", "some words"]))
+    assert sorted(learnt) == ["more", "some", "words"]
+    assert [ids.tolist() for ids, _, _ in again] == [ids.tolist() for ids, _, _ in first[::-1]]
+    other = pieces.shared_codec(made_model(pieces.BPE, True))
+    assert [ids.tolist() for ids, _, _ in other.encode(["ab"])] == other.reference.encode(["ab"])
+    assert pieces.shared_codec(model).known == {}
+
+
 def test_query(spark, sf_dir):
     rows = QUERIES["op9_sentencepiece"](spark, sf_dir).collect()
     texts = dict(duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall())
