@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from cohortlens import catalog
-from cohortlens.operators import models, networks
+from cohortlens.operators import balance, models, networks
 
 LAYERS = [3, 5, 4, 3]
 
@@ -56,3 +56,29 @@ def test_scores_before_and_after_saving_stand_in_one_row(spark, sf_dir):
     plan = compared._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert "Join" not in plan and "Broadcast" not in plan
     assert compared.filter("is_same").count() == compared.count() > 0
+
+
+def test_balanced_rows_are_packed_as_they_are_made(spark, monkeypatch):
+    """No table of them is written, and the fit is that of the scaler and the network over such a table."""
+    kinds = (F.col("id") % 7 == 0).cast("int")
+    frame = spark.range(0, 1500, 1, 4).select(
+        (1e4 + F.randn(1) + 2 * kinds).alias("a"), F.randn(2).alias("b"), F.lit(3.0).alias("c"), kinds.alias("label")
+    )
+    names = ["a", "b", "c"]
+    estimator = models.network(names, 2, (4,), 15)
+    table = balance.oversample(frame, "label", names).persist()
+    want = estimator.fit(table)
+
+    def no_table(*_):
+        raise AssertionError("the balanced rows were written")
+
+    monkeypatch.setattr(models, "write_once", no_table)
+    got = models.fit_balanced(estimator, "label", names)(frame)
+    assert got.stages[1].mean.toArray() == pytest.approx(want.stages[1].mean.toArray(), rel=1e-9)
+    assert got.stages[1].std.toArray() == pytest.approx(want.stages[1].std.toArray(), rel=1e-9)
+    figures = [models.classifier_metrics(models.class_probabilities(m.transform(table))).first() for m in (got, want)]
+    assert figures[0] == pytest.approx(figures[1], abs=0.01) and figures[0].accuracy > 0.8
+    with pytest.raises(Exception, match="not a number"):
+        networks.NetworkClassifier([1, 2], "label", 2, 42).fit_scaled(
+            spark.range(4).select(F.array(F.lit(float("nan"))).alias("vec"), F.lit(0).alias("label"))
+        )
