@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
@@ -102,7 +103,25 @@ def test_deep_trees_are_grown_whole():
     assert (tree.value[tree.leaves(x)].argmax(1) == y).all()
 
 
+def test_boosted_trees_of_all_folds_are_those_of_spark(frame, monkeypatch):
+    """Fitted side by side, each model says what Spark's boosted trees on the same rows say."""
+    monkeypatch.setattr(models.GBTRegressor, "fit", lambda *_: pytest.fail("a fit of its own for a fold"))
+    own = models.boosted_by_every_fold(frame, "id", ["x", "y"], folds=3, max_iter=4)
+    rows = own.select("id", "fold", "held_out", "prediction").collect()
+    summary = models.kfold_regression(frame, "id", ["x", "y"], folds=3, max_iter=4).collect()
+    monkeypatch.undo()
+    want = models.scored_by_every_fold(frame, "id", 3, models.boosted(["x", "y"], max_iter=4).fit)
+    theirs = {(r.id, r.fold): (r.held_out, r.prediction) for r in want.collect()}
+    assert len(rows) == len(theirs) == 9000
+    assert {(r.id, r.fold): r.held_out for r in rows} == {k: held for k, (held, _) in theirs.items()}
+    off = [abs(r.prediction - theirs[r.id, r.fold][1]) for r in rows]
+    assert np.mean(np.array(off) < 1e-6) > 0.99
+    errors = {r.fold: r.mae for r in models.regression_metrics(want.filter("held_out"), by=["fold"]).collect()}
+    assert {r.fold: r.mae for r in summary} == pytest.approx(errors, rel=1e-3)
+
+
 def test_missing_numbers_are_refused(spark):
-    rows = models.assemble(spark.createDataFrame([(1.0, 2.0), (float("nan"), 1.0)], ["x", "y"]), ["x", "y"])
+    cells = spark.createDataFrame([([1.0, 2.0],), ([float("nan"), 1.0],)], "x array<double>")
+    rows = cells.select(array_to_vector("x").alias("features"))
     with pytest.raises(Exception, match="not a number"):
         forests.bin_cuts(rows)
