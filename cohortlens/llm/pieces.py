@@ -23,6 +23,8 @@ UNIGRAM, BPE = 1, 2
 # Tasks keep the cores busy by themselves: more threads in a task cost more CPU seconds for the same rows.
 THREADS = 1
 KNOWN_UNITS = 600_000
+# Units that are encoded and decoded by one call.
+_JOINED = 32
 _ROWS = 256
 
 
@@ -174,8 +176,8 @@ def _has_units(model: Model) -> bool:
 class Codec:
     """Encodes batches of texts by their distinct units, and checks every whole text.
 
-    Each distinct unit is encoded once and kept, and SentencePiece decodes it once; the memory of
-    units is cleared when it is full. Models whose pieces leave no such units, and unigram models, which weigh a whole
+    Each distinct unit is encoded once and kept, and SentencePiece decodes it once. When half of the
+    memory of units is full, those that were not met since the half before are forgotten. Models whose pieces leave no such units, and unigram models, which weigh a whole
     text, encode and decode whole texts.
     """
 
@@ -190,7 +192,9 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.threads = threads
         self.by_unit = _has_units(self.model)
+        self.marked = np.array([piece.startswith(MARK) for piece, _, _ in self.model.pieces], bool)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.lossy: set[str] = set()
 
     @staticmethod
@@ -204,7 +208,29 @@ class Codec:
         return text.split(" ")
 
     def _learn(self, units: list[str]) -> None:
-        """Encode units that are not known yet, and note those that do not decode to themselves."""
+        """Encode units that are not known yet, and note those that do not decode to themselves.
+
+        Units that hold no mark go side by side into one text: each begins with its one mark, so its ids
+        begin with its one marked piece, and the text decodes to the units between spaces if every unit
+        decodes to itself. Those for which that does not hold are encoded and decoded alone.
+        """
+        plain = [u for u in units if u and MARK not in u]
+        alone = [u for u in units if not u or MARK in u]
+        groups = [plain[start : start + _JOINED] for start in range(0, len(plain), _JOINED)]
+        joined = self.core.encode_batch_fast([MARK + MARK.join(g) for g in groups], add_special_tokens=False)
+        encoded = [e.ids for e in joined]
+        for group, ids, told in zip(groups, encoded, self.reference.decode(encoded, num_threads=self.threads)):
+            flat = np.array(ids, np.int32)
+            starts = np.flatnonzero(self.marked[flat])
+            if len(starts) != len(group) or starts[0] or told != " ".join(group):
+                alone += group
+                continue
+            cells, cuts = flat.tobytes(), (starts * flat.itemsize).tolist()
+            self.known.update(zip(group, map(cells.__getitem__, map(slice, cuts, [*cuts[1:], None]))))
+        if alone:
+            self._learn_alone(alone)
+
+    def _learn_alone(self, units: list[str]) -> None:
         encoded = [e.ids for e in self.core.encode_batch_fast([MARK + u for u in units], add_special_tokens=False)]
         told = self.reference.decode(encoded, num_threads=self.threads)
         self.known.update(zip(units, [array("i", ids).tobytes() for ids in encoded]))
@@ -228,18 +254,21 @@ class Codec:
             yield from self._whole(texts)
             return
         parts = [self.units(t) for t in texts]
-        if len(self.known) >= KNOWN_UNITS:
-            self.known.clear()
-            self.lossy.clear()
+        if len(self.known) >= KNOWN_UNITS // 2:
+            self.known, self.older = {}, self.known
+            self.lossy.intersection_update(self.older)
         new = set(chain.from_iterable(parts)).difference(self.known)
+        if self.older:
+            self.known.update([(u, self.older[u]) for u in new if u in self.older])
+            new = new.difference(self.known)
         if new:
             self._learn(list(new))
         known = self.known.__getitem__
-        wanted = self.reference.encode(texts, num_threads=self.threads)
+        wanted = self.reference.encode(texts, return_type="numpy", num_threads=self.threads)
         for text, units, other in zip(texts, parts, wanted):
             ids = b"".join(map(known, units))
             restored = MARK not in text and (not self.lossy or self.lossy.isdisjoint(units))
-            yield np.frombuffer(ids, np.int32), array("i", other).tobytes() == ids, restored
+            yield np.frombuffer(ids, np.int32), np.asarray(other, np.int32).tobytes() == ids, restored
 
     def decode(self, lists: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([ids.tolist() for ids in lists], skip_special_tokens=False)

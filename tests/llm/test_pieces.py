@@ -132,6 +132,29 @@ def test_tasks_of_a_worker_learn_a_unit_once(model, monkeypatch):
     assert pieces.shared_codec(model).known == {}
 
 
+def test_units_that_are_met_again_are_not_forgotten(model, monkeypatch):
+    """A unit of every batch is learnt once, though the memory of units is full many times over."""
+    monkeypatch.setattr(pieces, "KNOWN_UNITS", 100)
+    learnt = []
+    codec = pieces.Codec(model, 1)
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda units: (learnt.extend(units), learn(units))[1])
+    for start in range(0, 2000, 40):
+        texts = [f"often word{k}" for k in range(start, start + 40)]
+        assert [i.tolist() for i, _, _ in codec.encode(texts)] == codec.reference.encode(texts)
+        assert len(codec.known) + len(codec.older) <= 100 + 82
+    assert learnt.count("often") == 1 and len(learnt) == 2001
+
+
+def test_units_learnt_together_are_those_learnt_alone(model):
+    units = ["", "a", "\u2581b", "x\ny", "é", "😀", "</s>", "<0x0A>", "\u0000", "\u200b", *[f"word{k}" for k in range(100)]]
+    for data in (model, made_model(pieces.BPE, True), made_model(pieces.BPE, False)):
+        together, alone = pieces.Codec(data, 1), pieces.Codec(data, 1)
+        together._learn(units)
+        alone._learn_alone(units)
+        assert together.known == alone.known and together.lossy == alone.lossy
+
+
 def test_query(spark, sf_dir):
     rows = QUERIES["op9_sentencepiece"](spark, sf_dir).collect()
     texts = dict(duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall())
