@@ -63,7 +63,8 @@ def linked(vertices: DataFrame, bits: int) -> DataFrame:
     listed: first each node is compared with the smallest node of its key, and the groups found
     so are joined up; then only links between different groups are looked for. Distinct
     fingerprints that share a key differ in few of few bits, so a key has no part of the
-    table's size; copies are one vertex.
+    table's size; copies are one vertex. Keys are many times the rows that Spark sizes them by
+    (an explode counts as one row), so the joins are told to merge and no side is broadcast.
     """
     keyed = _keyed(vertices, ["node", "mark"]).repartition("key")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.min_by("mark", "node").alias("head_mark"))
@@ -72,16 +73,16 @@ def linked(vertices: DataFrame, bits: int) -> DataFrame:
         & (F.col("node") > F.col("head"))
         & (differing_bits(keyed["mark"], heads["head_mark"]) <= bits)
     )
-    near_head = keyed.join(heads, at_head).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near_head = keyed.join(heads.hint("merge"), at_head).select(F.col("node").alias("a"), F.col("head").alias("b"))
     near_head = write_once(near_head.distinct(), "head-links")
     groups = components(near_head)
 
-    grouped = vertices.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = vertices.join(groups.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = _keyed(write_once(grouped, "grouped"), ["node", "root", "mark"])
     left = rows.withColumnsRenamed({c: f"a_{c}" for c in rows.columns})
     right = rows.withColumnsRenamed({c: f"b_{c}" for c in rows.columns})
     across = left.join(
-        right,
+        right.hint("merge"),
         (F.col("a_key") == F.col("b_key"))
         & (F.col("a_root") < F.col("b_root"))
         & (differing_bits(F.col("a_mark"), F.col("b_mark")) <= bits),
@@ -99,10 +100,11 @@ def classes(marks: DataFrame, bits: int, id_col: str = "doc_id") -> DataFrame:
     """
     own = marks.filter(F.col(id_col).isNotNull())
     vertices = write_once(own.groupBy("mark").agg(F.min(id_col).cast("long").alias("node")), "vertices")
-    named = vertices.join(linked(vertices, bits), "node", "left").select(
+    # All of these tables have a row per fingerprint or document: written small, large on a driver.
+    named = vertices.join(linked(vertices, bits).hint("merge"), "node", "left").select(
         "mark", F.coalesce("root", "node").alias("component_id")
     )
-    return own.join(named, "mark").select(*marks.columns, "component_id").unionByName(
+    return own.join(named.hint("merge"), "mark").select(*marks.columns, "component_id").unionByName(
         marks.filter(F.col(id_col).isNull()).withColumn("component_id", F.lit(None).cast("long"))
     )
 

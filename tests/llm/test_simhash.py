@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm import golay, simhash
 from cohortlens.llm.components import components
 from cohortlens.llm.queries import QUERIES
+from cohortlens.sources.tables import write_once
 
 SCHEMA = "doc_id long, text string"
 
@@ -104,6 +105,26 @@ def test_links_of_made_fingerprints(spark):
     assert {r.doc_id: r.component_id for r in classed.collect()} == plain_classes(marks)
 
 
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """Tables far below the broadcast threshold as files may be large once their keys are listed."""
+    rng = random.Random(13)
+    vertices = spark.createDataFrame([(k, rng.getrandbits(63)) for k in range(300)], "node long, mark long")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    monkeypatch.setattr("cohortlens.llm.components.BROADCAST_LINKS", 0, raising=False)
+    plans = []
+
+    def seen(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write_once(frame, name)
+
+    monkeypatch.setattr("cohortlens.llm.simhash.write_once", seen)
+    monkeypatch.setattr("cohortlens.llm.components.write_once", seen)
+    classed = simhash.classes(vertices.withColumnRenamed("node", "doc_id"), 4)
+    plans.append(classed._jdf.queryExecution().executedPlan().toString())
+    assert classed.count() == 300 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (4, "one two"), (5, "One TWO"), (None, "one two"), (6, "x " * 50_000)]
     docs = spark.createDataFrame([(*r, "z", "m") for r in rows], "doc_id long, text string, node string, mark string")
