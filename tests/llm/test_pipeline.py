@@ -43,6 +43,21 @@ def test_line_dedup(kept):
     assert all(r.n_chars == len(r.text) for r in kept[2])
 
 
+def test_near_copies_broadcast_no_keys(spark, sf_dir, monkeypatch):
+    """Keys outnumber the rows that Spark sizes them by, whatever the size of the files."""
+    plans = []
+
+    def seen(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return write_once(frame, name)
+
+    monkeypatch.setattr("cohortlens.llm.simhash.write_once", seen)
+    monkeypatch.setattr("cohortlens.llm.components.write_once", seen)
+    corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    listed = [p for p in plans if "Generate" in p]
+    assert len(listed) == 2 and not [p for p in listed if "BroadcastExchange" in p]
+
+
 def test_near_copies(kept):
     roots = plain_classes({r.doc_id: plain_fingerprint(r.text) for r in kept[2]})
     assert {r.doc_id for r in kept[3]} == {d for d, root in roots.items() if d == root}
